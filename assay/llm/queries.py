@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP3_SQL, op3_decontaminate
+from .packing import op6_packing
 from .simhash import op7_simhash
+from .toxicity import op2_toxicity
 
 
 def queries() -> dict:
-    return {"op7_simhash": op7_simhash}
+    return {"op2_toxicity": op2_toxicity, "op3_decontaminate": op3_decontaminate, "op6_packing": op6_packing, "op7_simhash": op7_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontaminate": OP3_SQL}

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, stored
+from .common import broadcast_if_small, components, stored
 
 SEED = 42
 #: Hashes whose bits are counted at a time.
@@ -95,6 +95,103 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named.join(smallest, "part").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
 
 
+#: Of the stage that keeps one of each group: words a shingle, similarity, 32-bit fingerprints, hashes of a sketch.
+NEAR_SHINGLE, NEAR_SIMILARITY, NEAR_TABLES, SKETCH = 5, 0.8, 6, 512
+
+
+def _sketch(text: bytes | None) -> tuple[list[int], bytes]:
+    """Of a whole text: three 64-bit SimHashes of its distinct words, and the smallest SKETCH hashes of its distinct
+    shingles, sorted (a text of fewer words than a shingle is one)."""
+    words = (text or b"").lower().split()
+    own = list(set(words))
+    prints = []
+    for seed in range((NEAR_TABLES + 1) // 2):
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(own), CHUNK):
+            bits = np.unpackbits(np.frombuffer(b"".join([xxhash.xxh64_digest(w, seed) for w in own[at : at + CHUNK]]), np.uint8)).reshape(-1, 64)
+            counts += bits.sum(axis=0, dtype=np.int64)
+        prints.append(int.from_bytes(np.packbits(counts * 2 > len(own)).tobytes(), "big", signed=True))
+    grams = set(map(b" ".join, zip(*(words[k:] for k in range(NEAR_SHINGLE)), strict=False))) or {b" ".join(words)}
+    hashes = np.unique(np.frombuffer(b"".join([xxhash.xxh32_digest(g, 1) for g in grams]), ">u4").astype(np.uint32))
+    return prints, hashes[:SKETCH].tobytes()
+
+
+def _alike(a: bytes, b: bytes) -> float:
+    """The Jaccard similarity of two sets of hashes from their sketches: exact up to SKETCH members, else an estimate."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    least = np.union1d(x, y)
+    if max(len(x), len(y)) >= SKETCH:
+        least = least[:SKETCH]
+    return float((np.isin(least, x, assume_unique=True) & np.isin(least, y, assume_unique=True)).mean())
+
+
+def near_copy_links(rows: DataFrame) -> DataFrame:
+    """Edges (a, b) of near copies among stored rows (rid, f0, f1, f2, sketch).
+
+    Each 32-bit half of a fingerprint is a table of its own. Within radius 2 in any, rows meet at a variant, as in
+    ``linked_fingerprints``. There each is compared with the smallest and with the one before it. Pairs count from a
+    similarity of NEAR_SIMILARITY between the texts' sets of five-word shingles.
+    """
+    ball = F.explode(F.array(*[F.lit(0), *[F.lit(1 << i) for i in range(32)]])).alias("mask")
+    halves = F.array(*[F.shiftrightunsigned(f"f{k // 2}", 32) if k % 2 else F.col(f"f{k // 2}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(NEAR_TABLES)])
+    tables = rows.select("rid", F.posexplode(halves).alias("k", "half"))
+    met = tables.select("rid", "k", "half", ball).select("rid", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("half").bitwiseXOR(F.col("mask").cast("long"))).alias("variant"))
+    order = Window.partitionBy("variant").orderBy("rid")
+    ranked = met.select("rid", F.first("rid").over(order).alias("first"), F.lag("rid").over(order).alias("before"))
+    pairs = ranked.where("before is not null").select(F.explode(F.array_distinct(F.array("first", "before"))).alias("a"), F.col("rid").alias("b")).distinct()
+    pairs = stored(pairs, "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    some = rows.join(broadcast_if_small(asked, 16), "rid", "left_semi").select("rid", "sketch")
+    one = pairs.join(some.toDF("a", "sa"), "a")
+    both = one.join(some.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = [_alike(x, y) >= NEAR_SIMILARITY for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component of ``near_copy_links`` the row with the smallest id stays.
+
+    Equal texts are copies whatever their length, null and empty ones too; of repeated rows one stays. A null id comes
+    after all others. All columns are kept as they are.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = [F.col(id_col).alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [_sketch(t) for t in batch.column(3).to_pylist()]
+            prints = [pa.array([g[0][k] for g in got], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *prints, pa.array([g[1] for g in got], pa.binary())], names=["id", "t1", "t2", "f0", "f1", "f2", "sketch"])
+
+    given = docs.select(*key, text.cast("binary").alias("text"))
+    kind = T.StructType([*given.schema.fields[:3], *[T.StructField(f"f{k}", T.LongType()) for k in range(3)], T.StructField("sketch", T.BinaryType())])
+    rows = stored(given.mapInArrow(run, kind).withColumn("rid", F.monotonically_increasing_id()), "sketches")  # rid holds from here
+    order = F.struct(F.col("id").isNull().alias("no"), "id", "rid")
+    texts = stored(rows.groupBy("t1", "t2").agg(F.min(order).alias("rep")), "texts")
+    parts = components(near_copy_links(rows.join(texts.select(F.col("rep.rid").alias("rid")), "rid", "left_semi")))
+    named = texts.join(parts, F.col("rep.rid") == parts.node, "left").withColumn("part", F.coalesce("component", "rep.rid"))
+    kept = named.groupBy("part").agg(F.min(F.struct("rep.no", "rep.id", "rep.rid", "t1", "t2")).alias("x")).select("x.id", "x.t1", "x.t2")
+    kept = stored(kept, "kept")
+    names = {"id": "__near_id", "t1": "__near_t1", "t2": "__near_t2"}
+    marked = docs.withColumns({names[k]: c for k, c in zip(names, key, strict=True)})
+
+    def among(few: DataFrame, how: str, of: DataFrame) -> DataFrame:
+        x = broadcast_if_small(few.toDF("__x", "__y", "__z"), 32)
+        return of.join(x, F.col("__near_t1").eqNullSafe(F.col("__y")) & (F.col("__near_t2") == F.col("__z")) & F.col("__near_id").eqNullSafe(F.col("__x")), how)
+
+    out = among(kept, "left_semi", marked)
+    repeated = rows.groupBy("id", "t1", "t2").count().where("count > 1").select("id", "t1", "t2")
+    if not repeated.isEmpty():
+        repeated = stored(repeated, "repeated")
+        out = among(repeated, "left_anti", out).unionByName(among(repeated, "left_semi", out).dropDuplicates(list(names.values())))
+    return out.drop(*names.values())
+
+
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprints and components of all documents: 3-word shingles, links at 2 or fewer differing bits."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, radius=2)

@@ -1,0 +1,73 @@
+import random
+
+from assay.llm.simhash import one_of_each_group
+
+
+def shingles(text, k=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or {tuple(w)}
+
+
+def groups(docs, least):
+    sets, parent = {d: shingles(t) for d, t in docs.items()}, {d: d for d in docs}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    by = {}
+    for d, s in sets.items():
+        for g in s:
+            by.setdefault(g, []).append(d)
+    for some in by.values():
+        for a in some[:40]:
+            for b in some:
+                if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                    x, y = sorted((root(a), root(b)))
+                    parent[y] = x
+    return {d: root(d) for d in docs}
+
+
+def test_one_of_each_group_against_brute_force(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = {r.doc_id: r.text for r in df.collect()}
+    part = groups(docs, 0.8)
+    kept = {r.doc_id for r in one_of_each_group(df).collect()}
+    want = set(part.values())
+    loose = groups(docs, 0.75)  # estimates of long texts may be off by a little
+    copies = set(docs) - want
+    print(len(want), len(kept), len(kept - want), len(want - kept))
+    assert len(kept & copies) <= 0.05 * len(copies)
+    assert all(loose[d] != d for d in want - kept)
+
+
+def test_odd_rows(spark):
+    long = " ".join(random.Random(3).choices([f"w{i}" for i in range(500)], k=400))
+    rows = [(4, long, 1), (2, long + " end", 2), (None, long, 3), (9, None, 4), (8, "", 5), (7, "one", 6), (6, "one", 7), (6, "one", 7), (5, "one two", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rid int")
+    got = sorted(one_of_each_group(df).collect())
+    assert got == [(2, long + " end", 2), (5, "one two", 8), (6, "one", 7), (8, "", 5)]
+    assert one_of_each_group(df.limit(0)).collect() == []
+    alone = one_of_each_group(spark.createDataFrame([(None, "a", 1), (None, "b", 1)], "doc_id long, text string, rid int")).collect()
+    assert len(alone) == 2
+
+
+def test_stages_take_effect(spark):
+    import corpus_pipeline
+
+    from assay.llm.common import stored
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = docs.columns
+    sizes = [docs.count()]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, sf), name)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == names
+            sizes.append(docs.count())
+    assert sizes == sorted(sizes, reverse=True) and len(set(sizes)) == len(sizes)
+    toxic = spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1")
+    assert docs.join(toxic, "doc_id", "left_semi").count() <= 2
+    assert docs.select("doc_id").distinct().count() == sizes[-1]
