@@ -22,7 +22,8 @@ SAMPLE_DOCS, SAMPLE_BYTES = 8_000, 24 << 20
 #: A labelled text beyond this is not sampled (every text is scored, whatever its length).
 SAMPLE_TEXT_BYTES = 2 << 20
 PREFIXES = (4, 5, 6)
-LEAST_DOCS = 3
+#: A feature is learned if it is in so many documents of label 1, that many times and standard deviations above chance.
+LEAST_DOCS, LEAST_LIFT, LEAST_SIGMA = 3, 4.0, 2.5
 THRESHOLD = 0.3
 
 _SENTENCE, _WORD = re.compile(r"[^.!?\n]+"), re.compile(r"\w+")
@@ -65,7 +66,7 @@ def noisy_or(p: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
 
-def fit(labelled: DataFrame, text_col: str, label_col: str, id_col: str, rounds: int = 120, rate: float = 0.15, ridge: float = 2e-3) -> Model:
+def fit(labelled: DataFrame, text_col: str, label_col: str, id_col: str) -> Model:
     """Train on a sample of labelled rows, bounded in expectation by SAMPLE_DOCS and SAMPLE_BYTES and chosen by a hash of the id.
 
     Executors turn texts into sentence features; the driver gets these hashes only and maximises the likelihood by Adam.
@@ -99,14 +100,23 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, id_col: str, rounds:
                 ends.append(np.array(stops, np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary()), pa.array(ends, pa.binary())], names=["h", "label", "ids", "ends"])
 
-    got = sorted(sample.mapInArrow(run, "h long, label double, ids binary, ends binary").collect(), key=lambda r: (r.h, r.label, bytes(r.ids)))
-    docs = [(np.frombuffer(r.ids, np.uint32), np.frombuffer(r.ends, np.uint32), r.label) for r in got if r.ends]
+    got = sample.mapInArrow(run, "h long, label double, ids binary, ends binary").collect()
+    return learn(sorted(got, key=lambda r: (r.h, r.label, bytes(r.ids))))
+
+
+def learn(bags: list, rounds: int = 200, rate: float = 0.15, lasso: float = 0.01) -> Model:
+    """The model of bags (label, ids, ends): a document's sentences' features, as bytes of 32-bit hashes and of the ends."""
+    docs = [(np.frombuffer(r.ids, np.uint32), np.frombuffer(r.ends, np.uint32), r.label) for r in bags if r.ends]
     y = np.array([label > 0 for _, _, label in docs])
     if not docs or y.all() or not y.any():
         return Model(-6.0, {})
-    # features in at least LEAST_DOCS documents, numbered
-    values, seen = np.unique(np.concatenate([np.unique(ids) for ids, _, _ in docs]), return_counts=True)
-    values = values[seen >= LEAST_DOCS]
+    # the features that speak for label 1, numbered
+    in_doc = [np.unique(ids) for ids, _, _ in docs]
+    values, n1 = np.unique(np.concatenate([x for x, one in zip(in_doc, y, strict=True) if one]), return_counts=True)
+    every, n = np.unique(np.concatenate(in_doc), return_counts=True)
+    n0 = n[np.searchsorted(every, values)] - n1
+    chance = n0 * (y.sum() / (~y).sum())  # the documents of label 1 to expect if the feature said nothing
+    values = values[(n1 >= LEAST_DOCS) & (n1 >= LEAST_LIFT * chance) & (n1 - chance >= LEAST_SIGMA * np.sqrt(chance + 1))]
     flat = np.concatenate([ids for ids, _, _ in docs])
     at = np.minimum(np.searchsorted(values, flat), max(len(values) - 1, 0))
     kept = values[at] == flat if len(values) else np.zeros(len(flat), bool)
@@ -123,12 +133,13 @@ def fit(labelled: DataFrame, text_col: str, label_col: str, id_col: str, rounds:
         clear = np.exp(np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-9)), first[:-1]))  # P(no sentence is toxic)
         pull = np.where(y, -clear / np.maximum(1 - clear, 1e-9), 1.0)  # d loss / d z is p times this
         g = p * pull[doc_of]
-        grad = np.bincount(ids, weights=g[sentence], minlength=width) / len(docs) + ridge / len(docs) * np.sign(w) + 1e-5 * w
+        grad = np.bincount(ids, weights=g[sentence], minlength=width) / len(docs)
         grad_b = g.sum() / len(docs)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         mb, vb = 0.9 * mb + 0.1 * grad_b, 0.99 * vb + 0.01 * grad_b * grad_b
         slow, fast = 1 - 0.9**step, 1 - 0.99**step
         w -= rate * (m / slow) / (np.sqrt(v / fast) + 1e-6)
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * lasso, 0)
         bias -= rate * (mb / slow) / (np.sqrt(vb / fast) + 1e-6)
     large = np.abs(w) > 1e-2
     return Model(float(bias), dict(zip(values[large].tolist(), w[large].tolist(), strict=True)))
