@@ -1,0 +1,66 @@
+import math
+from collections import Counter
+
+import pytest
+
+from assay.llm import lmscore
+from assay.llm.lmscore import SMOOTHING, UNIGRAM_ADD, marked, op10_lm_score, score, train
+
+
+def slow(docs, good):
+    """The same models with dictionaries; no word or bigram is cut off."""
+    toks = {d: (t or "").encode().lower().split() for d, t in docs}
+    uni, bi, after = ([Counter(), Counter()] for _ in range(3))
+    for d, w in toks.items():
+        m = 0 if d in good else 1
+        for a, b in zip(["<s>", *w], w, strict=False):
+            uni[m][b] += 1
+            bi[m][a, b] += 1
+            after[m][a] += 1
+    size = len(set(uni[0]) | set(uni[1])) + 2
+    out = {}
+    for d, w in toks.items():
+        loss = [0.0, 0.0]
+        for m in (0, 1):
+            for a, b in zip(["<s>", *w], w, strict=False):
+                p = (uni[m][b] + UNIGRAM_ADD) / (sum(uni[m].values()) + UNIGRAM_ADD * size)
+                loss[m] -= math.log((bi[m][a, b] + SMOOTHING * p) / (after[m][a] + SMOOTHING))
+        out[d] = [x / max(1, len(w)) for x in loss]
+    return out
+
+
+def test_matches_brute_force(spark):
+    docs = [(1, "the cat sat on the mat"), (2, "The cat ran"), (3, "stock prices fell again on fears"), (4, "stock fears"), (5, None), (6, " \n"), (7, "x " * 5000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as target", "2 as n")
+    good = spark.createDataFrame([(1,), (1,), (2,), (None,), (99,)], "doc_id long")
+    got = {r.id: r for r in score(df, train(marked(df, good))).collect()}
+    for d, (t, b) in slow(docs, {1, 2}).items():
+        assert got[d].target_loss == pytest.approx(t) and got[d].background_loss == pytest.approx(b) and got[d].score == pytest.approx(t - b)
+    assert got[1].score < got[3].score and got[5].score == got[6].score == 0 and got[7].n_tokens == 5000
+
+
+def test_empty_tables_and_repeated_rows(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    models = train(marked(empty, empty.select("doc_id")))
+    assert score(empty, models).collect() == []
+    twice = spark.createDataFrame([(None, "a b")] * 2, "doc_id long, text string")
+    assert [(r.id, r.n_tokens) for r in score(twice, models).collect()] == [(None, 2)] * 2
+
+
+def test_cutoff_bounds_the_model(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "BIGRAMS", 3)
+    df = spark.createDataFrame([(1, "a b a b a b c d e f")], "doc_id long, text string")
+    models = train(marked(df, df.select("doc_id")))
+    assert 0 < len(models.keys) <= 3
+
+
+def test_query_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "VOCABULARY", 1 << 20)
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
+    got = {r.doc_id: r for r in op10_lm_score(spark, sf).collect()}
+    want = slow(docs, good)
+    assert len(got) == len(docs)
+    for d in list(want)[::5]:
+        assert got[d].score == pytest.approx(want[d][0] - want[d][1], abs=1e-6)
