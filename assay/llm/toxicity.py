@@ -66,17 +66,19 @@ def noisy_or(p: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
 
-def fit(labelled: DataFrame, text_col: str, label_col: str, id_col: str) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, text_col: str, label_col: str, id_col: str) -> Model:
     """Train on a sample of labelled rows, bounded in expectation by SAMPLE_DOCS and SAMPLE_BYTES and chosen by a hash of the id.
 
-    Executors turn texts into sentence features; the driver gets these hashes only and maximises the likelihood by Adam.
-    Rows without a label are left out. Without rows of both labels the model gives every sentence a probability near 0.
+    ``labels`` has one row an id. Executors turn texts into sentence features; the driver gets these hashes only and maximises
+    the likelihood by Adam. Rows without a label are left out. Without rows of both labels the model gives every sentence a
+    probability near 0.
     """
-    rows = labelled.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("label"))
-    rows = rows.where("label is not null and text is not null").where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
-    n, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    own = labels.select(F.col(id_col).alias("labelled"), F.col(label_col).cast("double").alias("label")).where("labelled is not null and label is not null")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"), F.octet_length(text_col).alias("size")).where(F.col("size") <= SAMPLE_TEXT_BYTES)
+    # sizes are taken before the join, so that the texts themselves aren't shuffled; the sample is taken before it too
+    n, size = rows.select("id", "size").join(own, F.col("id") == F.col("labelled")).agg(F.count(F.lit(1)), F.sum("size")).first()
     share = min(1.0, SAMPLE_DOCS / max(n, 1), SAMPLE_BYTES / max(size or 0, 1))
-    sample = rows.where(F.pmod("h", F.lit(1_000_003)) < int(share * 1_000_003) + 1).select("h", "text", "label")
+    sample = rows.where(F.pmod("h", F.lit(1_000_003)) < int(share * 1_000_003) + 1).join(own, F.col("id") == F.col("labelled")).select("h", "text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, set[int]] = {}
@@ -183,7 +185,7 @@ def one_label(labels: DataFrame, label_col: str, id_col: str = "doc_id") -> Data
 def train(docs: DataFrame, labels: DataFrame, held_out=None) -> Model:
     """The model that ``docs.text`` and ``labels.toxic`` give; rows where ``held_out`` holds are not learned from."""
     rows = docs.select("doc_id", "text").where(~held_out) if held_out is not None else docs.select("doc_id", "text")
-    return fit(rows.join(one_label(labels, "toxic"), "doc_id"), "text", "tox_label", "doc_id")
+    return fit(rows, one_label(labels, "toxic"), "text", "tox_label", "doc_id")
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:

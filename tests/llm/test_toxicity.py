@@ -10,7 +10,8 @@ ROWS = [(i, f"A plain line here. {'You awful%d thing. ' % (i % 3) if i % 4 == 0
 
 @pytest.fixture(scope="module")
 def model(spark):
-    return fit(spark.createDataFrame(ROWS, "doc_id long, text string, y int"), "text", "y", "doc_id")
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, y int")
+    return fit(df.drop("y"), df.drop("text"), "text", "y", "doc_id")
 
 
 def test_noisy_or():
