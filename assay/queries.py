@@ -1,24 +1,289 @@
-"""The engine's queries over the driver's tables, each with the SQL that an independent engine runs for the same rows."""
+"""The engine's queries over the driver's tables, each with the SQL that an independent engine runs for the same rows.
+
+Every query is a plan of the plan language, as a dict, and goes through validation, translation and planning like a user's.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from assay.operators import Context
+from assay.plans.model import control_from, plan_from
+from assay.plans.planner import build, empty_result
+from assay.results import all_violations, metric_of, severity_summary
+
+AS_OF = dt.date(1996, 6, 30)
+NOW = dt.datetime(2026, 1, 1)
+
+SCHEMAS = {
+    "customer": {"c_custkey": "integer", "c_name": "string", "c_acctbal": "float", "c_mktsegment": "string"},
+    "texts": {"event_id": "integer", "as_int": "integer", "as_float": "float", "as_date": "date", "as_time": "datetime", "as_bool": "boolean", "event_type": "string"},
+}
+
+
+def _n(dataset: str, alias: str | None = None) -> dict:
+    return {"type": "NORMALIZE", "dataset": dataset, "output_alias": alias or f"n_{dataset}"}
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text columns of events that casts read or not: numbers of several forms, dates with dashes and slashes, booleans."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k = F.col("event_id") % 7
+    number = F.col("event_id").cast("string")
+    return e.select(
+        number.alias("event_id"),
+        F.when(k == 0, F.concat(number, F.lit(".5"))).when(k == 1, F.lit("n/a")).when(k == 2, F.concat(F.lit("-"), number)).otherwise(number).alias("as_int"),
+        F.when(k == 0, F.lit("1.25e2")).when(k == 1, F.lit("1.5d")).when(k == 2, F.lit("")).otherwise(F.concat(number, F.lit(".25"))).alias("as_float"),
+        F.when(k == 0, F.date_format("ts", "yyyy/MM/dd")).when(k == 1, F.lit("2026-13-01")).when(k == 2, F.lit("2026")).otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("as_date"),
+        F.when(k == 0, F.date_format("ts", "yyyy/MM/dd")).when(k == 1, F.lit("soon")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("as_time"),
+        F.when(k < 2, F.lit("yes")).when(k == 2, F.lit("maybe")).when(k == 3, F.lit("0")).otherwise(F.lit("true")).alias("as_bool"),
+        F.concat(F.lit("  "), "event_type", F.lit(" ")).alias("event_type"),
+    )
+
+
+_TEXTS_SQL = """SELECT event_id::VARCHAR AS event_id,
+  CASE event_id % 7 WHEN 0 THEN event_id || '.5' WHEN 1 THEN 'n/a' WHEN 2 THEN '-' || event_id ELSE event_id::VARCHAR END AS as_int,
+  CASE event_id % 7 WHEN 0 THEN '1.25e2' WHEN 1 THEN '1.5d' WHEN 2 THEN '' ELSE event_id || '.25' END AS as_float,
+  CASE event_id % 7 WHEN 0 THEN strftime(ts, '%Y/%m/%d') WHEN 1 THEN '2026-13-01' WHEN 2 THEN '2026' ELSE strftime(ts, '%Y-%m-%d') END AS as_date,
+  CASE event_id % 7 WHEN 0 THEN strftime(ts, '%Y/%m/%d') WHEN 1 THEN 'soon' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS as_time,
+  CASE WHEN event_id % 7 < 2 THEN 'yes' WHEN event_id % 7 = 2 THEN 'maybe' WHEN event_id % 7 = 3 THEN '0' ELSE 'true' END AS as_bool,
+  '  ' || event_type || ' ' AS event_type FROM events"""
+
+_ORDERS_ITEMS = [_n("orders"), _n("lineitem"), {"type": "JOIN", "left": "n_orders", "right": "n_lineitem", "left_key": "o_orderkey", "right_key": "l_orderkey", "output_alias": "joined"}]
+_DOC_LABELS = [_n("documents"), _n("labels")]
+
+
+def _diff(unit: str, **more) -> list[dict]:
+    return [*_ORDERS_ITEMS, {"type": "DATE_DIFF", "input": "joined", "from_field": "o_orderdate", "to_field": "l_shipdate", "unit": unit, "output_alias": "diffed", **more}]
+
+
+def _diff_sql(expr: str, name: str, where: str = "") -> str:
+    return f"SELECT o_orderkey, l_linenumber, {expr} AS {name} FROM orders JOIN lineitem ON o_orderkey = l_orderkey {where}"
+
+
+#: name -> (steps, alias that is returned, columns to keep or None, SQL). A terminal's frame starts with result_type.
+_PLANS: dict[str, tuple[list[dict], str, list[str] | None, str]] = {
+    "flagship": (
+        [_n("orders"), _n("customer"), {"type": "JOIN", "left": "n_orders", "right": "n_customer", "left_key": "o_custkey", "right_key": "c_custkey", "output_alias": "j"},
+         {"type": "FILTER", "input": "j", "conditions": ["o_orderstatus = 'F'", "c_acctbal < 0"], "output_alias": "v", "check_id": "CHK-1"}],
+        "v", None,
+        "SELECT 'row_level' AS result_type, o.*, c_custkey, trim(c_name) AS c_name, c_acctbal, trim(c_mktsegment) AS c_mktsegment, 'CHK-1' AS check_id, 'Violation detected by CHK-1' AS reason, 'CHK-1' AS _check_id FROM orders o JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND c_acctbal < 0",
+    ),
+    "normalize_customer": ([_n("customer")], "n_customer", None, "SELECT c_custkey, trim(c_name) AS c_name, c_acctbal, trim(c_mktsegment) AS c_mktsegment FROM customer"),
+    "normalize_text_casts": (
+        [_n("texts")], "n_texts", None,
+        f"SELECT try_cast(event_id AS BIGINT) AS event_id, try_cast(as_int AS BIGINT) AS as_int, try_cast(as_float AS DOUBLE) AS as_float, try_cast(as_date AS DATE) AS as_date, try_cast(as_time AS TIMESTAMP) AS as_time, try_cast(as_bool AS BOOLEAN) AS as_bool, trim(event_type) AS event_type FROM ({_TEXTS_SQL})",
+    ),
+    "normalize_no_schema": ([_n("nation")], "n_nation", None, "SELECT * FROM nation"),
+    "join_inner": (_ORDERS_ITEMS, "joined", ["o_orderkey", "o_custkey", "l_orderkey", "l_linenumber", "l_quantity"], "SELECT o_orderkey, o_custkey, l_orderkey, l_linenumber, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey"),
+    "join_left": (
+        [*_DOC_LABELS, {"type": "JOIN", "left": "n_documents", "right": "n_labels", "left_key": "doc_id", "right_key": "doc_id", "join_type": "left", "output_alias": "j"}],
+        "j", ["doc_id", "source", "doc_id_1", "quality", "toxic"], "SELECT d.doc_id, source, l.doc_id AS doc_id_1, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
+    ),
+    "join_full": (
+        [_n("nation"), _n("region"), {"type": "JOIN", "left": "n_nation", "right": "n_region", "left_key": "n_nationkey", "right_key": "r_regionkey", "join_type": "full", "output_alias": "j"}],
+        "j", None, "SELECT * FROM nation FULL JOIN region ON n_nationkey = r_regionkey",
+    ),
+    "join_full_two_sided": (
+        [_n("customer"), _n("supplier"), {"type": "JOIN", "left": "n_customer", "right": "n_supplier", "left_key": "c_custkey", "right_key": "s_nationkey", "join_type": "full", "output_alias": "j"}],
+        "j", ["c_custkey", "c_acctbal", "s_suppkey", "s_nationkey"], "SELECT c_custkey, c_acctbal, s_suppkey, s_nationkey FROM customer FULL JOIN supplier ON c_custkey = s_nationkey",
+    ),
+    "join_collision": (
+        [*_DOC_LABELS, {"type": "JOIN", "left": "n_documents", "right": "n_labels", "left_key": "doc_id", "right_key": "doc_id", "output_alias": "j"}],
+        "j", ["doc_id", "doc_id_1", "lang", "toxic"], "SELECT d.doc_id, l.doc_id AS doc_id_1, lang, toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id",
+    ),
+    "join_chain": (
+        [_n("region", "a"), _n("region", "b"), _n("region", "c"), {"type": "JOIN", "left": "a", "right": "b", "left_key": "r_regionkey", "right_key": "r_regionkey", "output_alias": "ab"},
+         {"type": "JOIN", "left": "ab", "right": "c", "left_key": "r_regionkey", "right_key": "r_regionkey", "output_alias": "abc"}],
+        "abc", None,
+        "SELECT a.r_regionkey, a.r_name, b.r_regionkey AS r_regionkey_1, b.r_name AS r_name_1, c.r_regionkey AS r_regionkey_2, c.r_name AS r_name_2 FROM region a JOIN region b ON a.r_regionkey = b.r_regionkey JOIN region c ON a.r_regionkey = c.r_regionkey",
+    ),
+    "filter_multi": (
+        [_n("lineitem"), {"type": "FILTER", "input": "n_lineitem", "conditions": ["l_quantity > 45", "l_returnflag = 'R' OR l_discount >= 0.09"], "output_alias": "f", "check_id": "CHK-2"}],
+        "f", ["check_id", "l_orderkey", "l_linenumber", "reason", "result_type"],
+        "SELECT 'CHK-2' AS check_id, l_orderkey, l_linenumber, 'Violation detected by CHK-2' AS reason, 'row_level' AS result_type FROM lineitem WHERE l_quantity > 45 AND (l_returnflag = 'R' OR l_discount >= 0.09)",
+    ),
+    "filter_date_asof": (
+        [_n("orders"), {"type": "FILTER", "input": "n_orders", "conditions": ["CAST(o_orderdate AS DATE) > CURRENT_DATE - INTERVAL '30 days'", "date_diff('month', o_orderdate, CURRENT_DATE) <= 1"], "output_alias": "f"}],
+        "f", ["o_orderkey", "_check_id"],
+        "SELECT o_orderkey, '' AS _check_id FROM orders WHERE CAST(o_orderdate AS DATE) > DATE '1996-06-30' - INTERVAL '30 days' AND date_diff('month', o_orderdate, DATE '1996-06-30') <= 1",
+    ),
+    "filter_null_predicate": (
+        [*_DOC_LABELS, {"type": "JOIN", "left": "n_documents", "right": "n_labels", "left_key": "doc_id", "right_key": "doc_id", "join_type": "left", "output_alias": "j"},
+         {"type": "FILTER", "input": "j", "conditions": ["NOT (quality = 1)"], "output_alias": "f"}],
+        "f", ["doc_id", "quality"], "SELECT d.doc_id, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE NOT (quality = 1)",
+    ),
+    "aggregate_global": (
+        [_n("lineitem"), {"type": "AGGREGATE", "input": "n_lineitem", "check_id": "CHK-3", "metrics": [
+            {"name": "n_rows", "formula": "COUNT(*)"}, {"name": "sum_qty", "formula": "ROUND(SUM(l_quantity), 2)"}, {"name": "min_price", "formula": "MIN(l_extendedprice)"}, {"name": "n_parts", "formula": "COUNT(DISTINCT l_partkey)"}, {"name": "best_key", "formula": "arg_max(l_orderkey, l_orderkey)"}]}],
+        "agg_metrics", None,
+        "SELECT 'aggregate' AS result_type, 'CHK-3' AS check_id, COUNT(*) AS n_rows, ROUND(SUM(l_quantity), 2) AS sum_qty, MIN(l_extendedprice) AS min_price, COUNT(DISTINCT l_partkey) AS n_parts, max(l_orderkey) AS best_key FROM lineitem",
+    ),
+    "aggregate_filtered": (
+        [_n("lineitem"), {"type": "AGGREGATE", "input": "n_lineitem", "metrics": [{"name": "n_returned", "formula": "COUNT(*)", "filter": "l_returnflag = 'R'"}, {"name": "n_all", "formula": "COUNT(*)"}, {"name": "qty_a", "formula": "SUM(l_quantity)", "filter": "l_returnflag = 'A' AND l_linestatus = 'F'"}]}],
+        "agg_metrics", None,
+        "SELECT 'aggregate' AS result_type, NULL::VARCHAR AS check_id, COUNT(*) FILTER (WHERE l_returnflag = 'R') AS n_returned, COUNT(*) AS n_all, SUM(l_quantity) FILTER (WHERE l_returnflag = 'A' AND l_linestatus = 'F') AS qty_a FROM lineitem",
+    ),
+    "aggregate_ratio": (
+        [_n("orders"), {"type": "AGGREGATE", "input": "n_orders", "check_id": "CHK-4", "metrics": [{"name": "rate", "formula": "ROUND(COUNT(*) FILTER (WHERE o_orderstatus = 'F')::DOUBLE / NULLIF(COUNT(*), 0), 4)"}]}],
+        "agg_metrics", None,
+        "SELECT 'aggregate' AS result_type, 'CHK-4' AS check_id, ROUND(COUNT(*) FILTER (WHERE o_orderstatus = 'F')::DOUBLE / NULLIF(COUNT(*), 0), 4) AS rate FROM orders",
+    ),
+    "aggregate_passed": (
+        [_n("orders"), {"type": "AGGREGATE", "input": "n_orders", "check_id": "CHK-5", "metrics": [{"name": "n", "formula": "COUNT(*)"}, {"name": "passed", "formula": "COUNT(*) FILTER (WHERE o_totalprice < 0) = 0"}]}],
+        "agg_metrics", None, "SELECT 'aggregate' AS result_type, 'CHK-5' AS check_id, COUNT(*) AS n, COUNT(*) FILTER (WHERE o_totalprice < 0) = 0 AS passed FROM orders",
+    ),
+    "aggregate_empty": (
+        [_n("orders"), {"type": "FILTER", "input": "n_orders", "conditions": ["o_totalprice < -1"], "output_alias": "none", "terminal": False},
+         {"type": "AGGREGATE", "input": "none", "metrics": [{"name": "n", "formula": "COUNT(*)"}, {"name": "total", "formula": "SUM(o_totalprice)"}]}],
+        "agg_metrics", None, "SELECT 'aggregate' AS result_type, NULL::VARCHAR AS check_id, COUNT(*) AS n, SUM(o_totalprice) AS total FROM orders WHERE o_totalprice < -1",
+    ),
+    "aggregate_grouped": (
+        [_n("orders"), {"type": "AGGREGATE", "input": "n_orders", "group_by": ["o_orderstatus", "o_orderpriority"], "metrics": [{"name": "n", "formula": "COUNT(*)"}, {"name": "total", "formula": "ROUND(SUM(o_totalprice), 1)"}]}],
+        "agg_metrics", ["o_orderstatus", "o_orderpriority", "n"], "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY ALL",
+    ),
+    "date_diff_day": (_diff("days"), "diffed", ["o_orderkey", "l_linenumber", "o_orderdate_to_l_shipdate_days"], _diff_sql("date_diff('day', o_orderdate, l_shipdate)", "o_orderdate_to_l_shipdate_days")),
+    "date_diff_month": (_diff("month"), "diffed", ["o_orderkey", "l_linenumber", "o_orderdate_to_l_shipdate_months"], _diff_sql("date_diff('month', o_orderdate, l_shipdate)", "o_orderdate_to_l_shipdate_months")),
+    "date_diff_year": (_diff("years"), "diffed", ["o_orderkey", "l_linenumber", "o_orderdate_to_l_shipdate_years"], _diff_sql("date_diff('year', o_orderdate, l_shipdate)", "o_orderdate_to_l_shipdate_years")),
+    "date_diff_hour": (
+        [_n("event_pairs"), {"type": "DATE_DIFF", "input": "n_event_pairs", "from_field": "ts", "to_field": "later", "unit": "hours", "output_alias": "d"}],
+        "d", None, "SELECT event_id, ts, ts + (value * 60)::BIGINT * INTERVAL 1 SECOND AS later, date_diff('hour', ts, ts + (value * 60)::BIGINT * INTERVAL 1 SECOND) AS ts_to_later_hours FROM events",
+    ),
+    "date_diff_prefilter": (
+        _diff("days", filter={"field": "l_returnflag", "op": "eq", "value": "R"}), "diffed", ["o_orderkey", "l_linenumber", "o_orderdate_to_l_shipdate_days"],
+        _diff_sql("date_diff('day', o_orderdate, l_shipdate)", "o_orderdate_to_l_shipdate_days", "WHERE l_returnflag = 'R'"),
+    ),
+    "threshold_flag": (
+        [*_DOC_LABELS, {"type": "JOIN", "left": "n_documents", "right": "n_labels", "left_key": "doc_id", "right_key": "doc_id", "join_type": "left", "output_alias": "j"},
+         {"type": "THRESHOLD", "input": "j", "condition": "quality >= 1", "flag_field": "good", "output_alias": "t"}],
+        "t", ["doc_id", "good"], "SELECT d.doc_id, quality >= 1 AS good FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
+    ),
+    "sla_rate": (
+        [*_diff("days"), {"type": "THRESHOLD", "input": "diffed", "condition": "o_orderdate_to_l_shipdate_days <= 30", "flag_field": "within", "output_alias": "t"},
+         {"type": "AGGREGATE", "input": "t", "check_id": "CHK-6", "metrics": [{"name": "n_within", "formula": "COUNT(*)", "filter": "within"}, {"name": "n_all", "formula": "COUNT(*)"}, {"name": "rate", "formula": "ROUND(COUNT(*) FILTER (WHERE within)::DOUBLE / NULLIF(COUNT(*), 0), 4)"}]}],
+        "agg_metrics", None,
+        "SELECT 'aggregate' AS result_type, 'CHK-6' AS check_id, COUNT(*) FILTER (WHERE d <= 30) AS n_within, COUNT(*) AS n_all, ROUND(COUNT(*) FILTER (WHERE d <= 30)::DOUBLE / NULLIF(COUNT(*), 0), 4) AS rate FROM (SELECT date_diff('day', o_orderdate, l_shipdate) AS d FROM orders JOIN lineitem ON o_orderkey = l_orderkey)",
+    ),
+    "completeness": (
+        [*_DOC_LABELS, {"type": "JOIN", "left": "n_documents", "right": "n_labels", "left_key": "doc_id", "right_key": "doc_id", "join_type": "left", "output_alias": "j"},
+         {"type": "COMPLETENESS", "input": "j", "check_field": "quality", "output_alias": "c", "check_id": "CHK-7"}],
+        "c", ["check_id", "doc_id", "reason", "result_type"],
+        "SELECT 'CHK-7' AS check_id, d.doc_id, 'Required field quality is NULL or missing' AS reason, 'completeness' AS result_type FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE quality IS NULL",
+    ),
+    "completeness_prefilter": (
+        [_n("texts"), {"type": "COMPLETENESS", "input": "n_texts", "check_field": "as_date", "filter": {"field": "event_id", "op": "lt", "value": 5000}, "output_alias": "c"}],
+        "c", ["check_id", "event_id", "reason"],
+        f"SELECT NULL::VARCHAR AS check_id, event_id::BIGINT AS event_id, 'Required field as_date is NULL or missing' AS reason FROM ({_TEXTS_SQL}) WHERE event_id::BIGINT < 5000 AND try_cast(as_date AS DATE) IS NULL",
+    ),
+    "uniqueness_single": (
+        [_n("lineitem"), {"type": "UNIQUENESS", "input": "n_lineitem", "key_columns": ["l_orderkey"], "output_alias": "u"}],
+        "u", ["l_orderkey", "l_linenumber", "_dup_count", "reason"],
+        "SELECT l_orderkey, l_linenumber, n AS _dup_count, 'Duplicate row detected on key columns: l_orderkey' AS reason FROM (SELECT *, COUNT(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) WHERE n > 1",
+    ),
+    "uniqueness_composite": (
+        [_n("lineitem"), {"type": "UNIQUENESS", "input": "n_lineitem", "key_fields": ["l_orderkey", "l_partkey"], "output_alias": "u", "check_id": "CHK-8"}],
+        "u", ["check_id", "l_orderkey", "l_partkey", "l_linenumber", "_dup_count", "result_type"],
+        "SELECT 'CHK-8' AS check_id, l_orderkey, l_partkey, l_linenumber, n AS _dup_count, 'uniqueness' AS result_type FROM (SELECT *, COUNT(*) OVER (PARTITION BY l_orderkey, l_partkey) AS n FROM lineitem) WHERE n > 1",
+    ),
+    "uniqueness_null_key": (
+        [*_DOC_LABELS, {"type": "JOIN", "left": "n_documents", "right": "n_labels", "left_key": "doc_id", "right_key": "doc_id", "join_type": "left", "output_alias": "j"},
+         {"type": "UNIQUENESS", "input": "j", "key_columns": ["quality", "source"], "output_alias": "u"}],
+        "u", ["doc_id", "quality", "_dup_count"],
+        "SELECT doc_id, quality, n AS _dup_count FROM (SELECT d.doc_id, quality, COUNT(*) OVER (PARTITION BY quality, source) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) WHERE n > 1",
+    ),
+    "reconciliation": (
+        [*_DOC_LABELS, {"type": "RECONCILIATION", "left": "n_documents", "right": "n_labels", "on": {"left_key": "doc_id", "right_key": "doc_id"}, "output_alias": "r", "check_id": "CHK-9"}],
+        "r", ["check_id", "doc_id", "reason", "result_type"],
+        "SELECT 'CHK-9' AS check_id, doc_id, 'Record present in n_documents but absent from n_labels' AS reason, 'reconciliation' AS result_type FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    ),
+    "reconciliation_none": (
+        [_n("customer"), _n("orders"), {"type": "RECONCILIATION", "left": "n_orders", "right": "n_customer", "left_key": "o_custkey", "right_key": "c_custkey", "output_alias": "r"}],
+        "r", ["o_orderkey", "o_custkey"], "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)",
+    ),
+}
+
+
+def _context(spark: SparkSession, sf_dir: str, names: set[str]) -> Context:
+    made = {"texts": lambda: _texts(spark, sf_dir), "event_pairs": lambda: _event_pairs(spark, sf_dir)}
+    frames = {n: made[n]() if n in made else spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
+    return Context(frames, SCHEMAS, AS_OF)
+
+
+def _event_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    later = F.col("ts") + F.make_dt_interval(secs=F.rint(F.col("value") * 60).cast("decimal(18,6)"))
+    return e.select("event_id", "ts", later.alias("later"))
+
+
+def _planned(spark: SparkSession, sf_dir: str, steps: list[dict]):
+    plan = plan_from({"group_id": "g1", "steps": steps})
+    return build(plan, _context(spark, sf_dir, {s.dataset for s in plan.steps if s.kind == "NORMALIZE"}))
+
+
+def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    steps, alias, columns, _ = _PLANS[name]
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        planned = _planned(spark, sf_dir, steps)
+        out = next((t.frame for t in planned.terminals if t.step.output_alias == alias), None)
+        out = planned.env[alias] if out is None else out
+        return out.select(*columns) if columns else out
+
+    return query
+
+
+_GROUP = [
+    _n("orders"), _n("customer"), _n("labels"), _n("documents"), {"type": "JOIN", "left": "n_orders", "right": "n_customer", "left_key": "o_custkey", "right_key": "c_custkey", "output_alias": "j"},
+    {"type": "FILTER", "input": "j", "conditions": ["c_acctbal < -900"], "output_alias": "poor", "check_id": "CHK-A"},
+    {"type": "FILTER", "input": "j", "conditions": ["o_totalprice > 400000"], "output_alias": "large", "check_id": "CHK-B"},
+    {"type": "RECONCILIATION", "left": "n_documents", "right": "n_labels", "left_key": "doc_id", "right_key": "doc_id", "output_alias": "unlabelled", "check_id": "CHK-C"},
+]
+_SEVERITIES = {"CHK-A": "high", "CHK-B": "critical"}
+_GROUP_SQL = """SELECT 'CHK-A' AS check_id, 'high' AS severity, o_orderkey AS k FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < -900
+UNION ALL SELECT 'CHK-B', 'critical', o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 400000
+UNION ALL SELECT 'CHK-C', 'medium', doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"""
+
+
+def _violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_violations(_planned(spark, sf_dir, _GROUP), "CTL-1", _SEVERITIES, NOW, spark)
+
+
+def _multi_terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.coalesce(F.get_json_object("evidence", "$.o_orderkey"), F.get_json_object("evidence", "$.doc_id")).cast("long")
+    return _violations(spark, sf_dir).select("control_id", "group_id", "check_id", "severity", "reason", key.alias("evidence_key"))
+
+
+def _metric_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headline metric of a group with its control's threshold; one row."""
+    steps = [_n("orders"), {"type": "AGGREGATE", "input": "n_orders", "check_id": "CHK-R", "metrics": [{"name": "rate", "formula": "ROUND(COUNT(*) FILTER (WHERE o_orderstatus = 'F')::DOUBLE / NULLIF(COUNT(*), 0), 4)"}, {"name": "n", "formula": "COUNT(*)"}]}]
+    control = control_from({"control_id": "CTL-1", "checks": [{"check_id": "CHK-R", "type": "aggregate", "severity": "high", "threshold": {"operator": ">=", "value": 0.4}}]})
+    row = _planned(spark, sf_dir, steps).terminals[0].frame.first().asDict()
+    m = metric_of(row, "CTL-1", "g1", control, NOW)
+    return spark.createDataFrame([(m.check_id, m.metric_name, m.metric_value, m.passed, int(m.supporting["n"]))], "check_id string, metric_name string, metric_value double, passed boolean, n long")
 
 
-def _flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    joined = orders.join(customer, orders.o_custkey == customer.c_custkey)
-    return joined.where("o_orderstatus = 'F' AND c_acctbal < 0")
+_OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "multi_terminal_union": (
+        _multi_terminal,
+        f"SELECT 'CTL-1' AS control_id, 'g1' AS group_id, check_id, severity, CASE check_id WHEN 'CHK-C' THEN 'Record present in n_documents but absent from n_labels' ELSE 'Violation detected by ' || check_id END AS reason, k AS evidence_key FROM ({_GROUP_SQL})",
+    ),
+    "severity_summary": (lambda spark, sf_dir: severity_summary(_violations(spark, sf_dir)), f"SELECT severity, COUNT(*) AS n_violations FROM ({_GROUP_SQL}) GROUP BY severity"),
+    "checks_evaluated": (lambda spark, sf_dir: _violations(spark, sf_dir).groupBy("check_id").agg(F.count(F.lit(1)).alias("n")), f"SELECT check_id, COUNT(*) AS n FROM ({_GROUP_SQL}) GROUP BY check_id"),
+    "metric_threshold": (
+        _metric_threshold,
+        "SELECT 'CHK-R' AS check_id, 'rate' AS metric_name, rate AS metric_value, rate >= 0.4 AS passed, n FROM (SELECT ROUND(COUNT(*) FILTER (WHERE o_orderstatus = 'F')::DOUBLE / NULLIF(COUNT(*), 0), 4) AS rate, COUNT(*) AS n FROM orders)",
+    ),
+    "empty_plan": (lambda spark, sf_dir: empty_result(spark), "SELECT NULL::VARCHAR AS result_type WHERE FALSE"),
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"flagship": _flagship}
+    return {name: _run(name) for name in _PLANS} | {name: q for name, (q, _) in _OTHER.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "flagship": "SELECT * FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND c_acctbal < 0",
-    }
+    return {name: sql for name, (_, _, _, sql) in _PLANS.items()} | {name: sql for name, (_, sql) in _OTHER.items()}
