@@ -44,9 +44,9 @@ def to_date(c: Column, kind: T.DataType) -> Column:
 
 
 def to_datetime(c: Column, kind: T.DataType) -> Column:
-    """As for dates; blanks around the text are not read over."""
+    """As for dates."""
     if isinstance(kind, T.StringType):
-        return F.when(c.rlike(r"^\d+([-/])\d{1,2}\1\d{1,2}") & ~c.rlike(r"\s$"), _dashed(c).try_cast("timestamp_ntz"))
+        return F.when(c.rlike(r"^\s*\d+([-/])\d{1,2}\1\d{1,2}"), _dashed(c).try_cast("timestamp_ntz"))
     return c.try_cast("timestamp_ntz")
 
 

@@ -298,7 +298,7 @@ class Group:
 
 
 def ordered_groups(groups: list[Group], control: Control | None = None) -> list[Group]:
-    """By execution order. Repeated ids or orders, and checks or datasets that the control doesn't have, are errors."""
+    """By execution order. Repeated ids or orders, and checks that the control doesn't have, or datasets if it lists any, are errors."""
     errors = []
     for what, values in (("group", [g.group_id for g in groups]), ("execution order", [g.execution_order for g in groups])):
         errors += [f"{what} {v} is there twice" for v in sorted({v for v in values if values.count(v) > 1})]
@@ -306,7 +306,7 @@ def ordered_groups(groups: list[Group], control: Control | None = None) -> list[
         checks, datasets = {c.check_id for c in control.checks}, {d.dataset_id for d in control.datasets}
         for g in groups:
             errors += [f"group {g.group_id}: unknown check {c}" for c in g.checks if c not in checks]
-            errors += [f"group {g.group_id}: unknown dataset {d}" for d in g.datasets if d not in datasets]
+            errors += [f"group {g.group_id}: unknown dataset {d}" for d in g.datasets if datasets and d not in datasets]
     if errors:
         raise PlanError(errors)
     return sorted(groups, key=lambda g: g.execution_order)
