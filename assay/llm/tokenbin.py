@@ -16,30 +16,40 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, dropped, scratch_dir, stored
 
-BLOCK, LANES, CHECKPOINT, PRECISION = 1 << 18, 1024, 128, 20
+BLOCK, LANES, CHECKPOINT, PRECISION = 1 << 20, 4096, 128, 20
 LOW = np.uint64(1 << 31)
 END = 0
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 900_000
 
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
-    """A tokenizer of the ``tokenizers`` library that remembers the ids of pieces.
+    """A byte-level tokenizer of the ``tokenizers`` library that remembers the ids of pieces.
 
     Byte-level pre-tokenizing never joins text across a single space between two other characters: the space starts the
-    next token. So a text's ids are those of its pieces cut there, each with its space. Other spaces are not cut at.
+    next token. So a text's ids are those of its pieces cut there, each with its space. Other spaces are not cut at. A piece
+    of Latin letters is one pre-token, which the library's model is asked for directly; commas and the like behind it are
+    another. All other pieces go through the whole tokenizer.
     """
 
     _known: dict[str, Encoder] = {}
@@ -53,7 +63,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.ids: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -65,23 +77,46 @@ class Encoder:
     def _fresh(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _add(self, pieces: list[str]) -> None:
+        """Remember pieces, each as it is after a space."""
+        ids, code, tokenize = self.ids, "H" if self.kind == np.uint16 else "I", self.model.tokenize
+        space = self.letters[0x20]
+        words, ended, other = set(), [], []
+        for p in pieces:
+            word = p.rstrip(".,;:!?")
+            if word.isalpha() and max(word) < "\u0250":
+                if word not in ids:
+                    words.add(word)
+                if word != p:
+                    ended.append((p, word, p[len(word) :]))
+            else:
+                other.append(p)
+        for w in words:
+            shown = w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
+            ids[w] = array(code, [t.id for t in tokenize(space + shown)]).tobytes()
+        new = list({end for _, _, end in ended}.difference(self.ends))
+        self.ends.update(zip(new, self._fresh(new), strict=True))
+        for p, word, end in ended:
+            ids[p] = ids[word] + self.ends[end]
+        ids.update(zip(other, self._fresh([" " + p for p in other]), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text, as bytes of ``kind``."""
-        cut = []
-        for text in texts:
-            pieces = text.split(" ")
-            if any(not p or p[0].isspace() or p[-1].isspace() for p in pieces):
-                pieces = _BETWEEN.split(text)
-            cut.append(pieces)
+        cut = [text.split(" ") for text in texts]
         if len(self.ids) > REMEMBERED:
             self.ids.clear()
-        new = list({p for pieces in cut for p in pieces[1:] if p not in self.ids})
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            self.ids.update(zip(some, self._fresh([" " + p for p in some]), strict=True))
+            self.ends.clear()
+        self._add([p for p in set().union(*cut).difference(self.ids) if p and not p[0].isspace() and not p[-1].isspace()])
         first = self._fresh([pieces[0] for pieces in cut])
-        get = self.ids.__getitem__
-        return [f + b"".join(map(get, pieces[1:])) for f, pieces in zip(first, cut, strict=True)]
+        get, out = self.ids.__getitem__, []
+        for text, pieces, start in zip(texts, cut, first, strict=True):
+            del pieces[0]
+            try:
+                out.append(start + b"".join(map(get, pieces)))
+            except KeyError:  # a space beside white space: pieces that begin or end with it, or are empty, are never remembered
+                some = _BETWEEN.split(text)
+                out.append(b"".join(self._fresh([some[0], *[" " + p for p in some[1:]]])))
+        return out
 
 
 class Frequencies:
@@ -281,8 +316,6 @@ def _read(spark, path: str, column: str, value, kind: pa.DataType) -> DataFrame:
                 values = pa.array([value(ids[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], kind)
                 yield pa.RecordBatch.from_arrays([*cols, values], names=["part", "block", "doc_id", "inside", "n_tokens", column.split(" ")[0]])
 
-    from pyspark.sql import Window
-
     docs = blocks.mapInArrow(run, f"part int, block int, doc_id long, inside long, n_tokens long, {column}")
     # a row a part reaches the driver: as many as the writer had tasks
     totals = sorted(blocks.groupBy("part").agg(F.sum("n").alias("n")).collect())
