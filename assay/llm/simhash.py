@@ -125,23 +125,26 @@ def _alike(a: bytes, b: bytes) -> float:
     return float((np.isin(least, x, assume_unique=True) & np.isin(least, y, assume_unique=True)).mean())
 
 
-def near_copy_links(rows: DataFrame) -> DataFrame:
-    """Edges (a, b) of near copies among stored rows (rid, f0, f1, f2, sketch).
+def near_copy_links(prints: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Edges (a, b) of near copies among rows (rid, f0, f1, f2), whose sketches (rid, sketch) are stored.
 
     Each 32-bit half of a fingerprint is a table of its own. Within radius 2 in any, rows meet at a variant, as in
-    ``linked_fingerprints``. There each is compared with the smallest and with the one before it. Pairs count from a
-    similarity of NEAR_SIMILARITY between the texts' sets of five-word shingles.
+    ``linked_fingerprints``. There each is compared with the first, and those whose fingerprint is the variant with their
+    neighbours: a few pairs a row, however many meet. Pairs count from a similarity of NEAR_SIMILARITY between the texts'
+    sets of five-word shingles.
     """
     ball = F.explode(F.array(*[F.lit(0), *[F.lit(1 << i) for i in range(32)]])).alias("mask")
     halves = F.array(*[F.shiftrightunsigned(f"f{k // 2}", 32) if k % 2 else F.col(f"f{k // 2}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(NEAR_TABLES)])
-    tables = rows.select("rid", F.posexplode(halves).alias("k", "half"))
-    met = tables.select("rid", "k", "half", ball).select("rid", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("half").bitwiseXOR(F.col("mask").cast("long"))).alias("variant"))
-    order = Window.partitionBy("variant").orderBy("rid")
-    ranked = met.select("rid", F.first("rid").over(order).alias("first"), F.lag("rid").over(order).alias("before"))
-    pairs = ranked.where("before is not null").select(F.explode(F.array_distinct(F.array("first", "before"))).alias("a"), F.col("rid").alias("b")).distinct()
+    tables = prints.select("rid", F.posexplode(halves).alias("k", "half"))
+    met = tables.select("rid", "k", "half", ball).select("rid", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("half").bitwiseXOR(F.col("mask").cast("long"))).alias("variant"), (F.col("mask") != 0).alias("off"))
+    order = Window.partitionBy("variant").orderBy("off", "rid")
+    ranked = met.select("rid", "off", F.first("rid").over(order).alias("first"), F.lag("rid").over(order).alias("before"))
+    # each with the first at the variant, and with the one before it if both are at the variant itself
+    ranked = ranked.where("before is not null").select("rid", F.explode(F.when(F.col("off"), F.array("first")).otherwise(F.array("first", "before"))).alias("other"))
+    pairs = ranked.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b")).distinct()
     pairs = stored(pairs, "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    some = rows.join(broadcast_if_small(asked, 16), "rid", "left_semi").select("rid", "sketch")
+    some = sketches.join(broadcast_if_small(asked, 16), "rid", "left_semi").select("rid", "sketch")
     one = pairs.join(some.toDF("a", "sa"), "a")
     both = one.join(some.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
 
@@ -173,7 +176,8 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = stored(given.mapInArrow(run, kind).withColumn("rid", F.monotonically_increasing_id()), "sketches")  # rid holds from here
     order = F.struct(F.col("id").isNull().alias("no"), "id", "rid")
     texts = stored(rows.groupBy("t1", "t2").agg(F.min(order).alias("rep")), "texts")
-    parts = components(near_copy_links(rows.join(texts.select(F.col("rep.rid").alias("rid")), "rid", "left_semi")))
+    one_each = rows.select("rid", "f0", "f1", "f2").join(texts.select(F.col("rep.rid").alias("rid")), "rid", "left_semi")
+    parts = components(near_copy_links(one_each, rows.select("rid", "sketch")))
     named = texts.join(parts, F.col("rep.rid") == parts.node, "left").withColumn("part", F.coalesce("component", "rep.rid"))
     kept = named.groupBy("part").agg(F.min(F.struct("rep.no", "rep.id", "rep.rid", "t1", "t2")).alias("x")).select("x.id", "x.t1", "x.t2")
     kept = stored(kept, "kept")
