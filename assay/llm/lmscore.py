@@ -130,8 +130,10 @@ def train(docs: DataFrame) -> Models:
         if left + shares[n] > BIGRAMS:
             break
         cutoff, left = n, left + shares[n]
-    kept = pairs.where(total >= cutoff).orderBy("key").toPandas()  # at most BIGRAMS rows
-    return Models(words, kept["key"].to_numpy(np.int64), np.stack([kept["n1"].to_numpy(float), kept["n0"].to_numpy(float)]), singles)
+    kept = pairs.where(total >= cutoff).toArrow()  # at most BIGRAMS rows, as columns
+    keys = kept.column("key").to_numpy()
+    order = np.argsort(keys)
+    return Models(words, keys[order], np.stack([kept.column(n).to_numpy()[order].astype(np.float32) for n in ("n1", "n0")]), singles)
 
 
 def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
