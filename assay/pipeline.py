@@ -29,6 +29,8 @@ class ControlRun:
     metrics: list[results.Metric]
     audit: list[results.GroupAudit]
     by_severity: dict[str, int] = field(default_factory=dict)
+    #: The physical plans of each group's results, as text.
+    plans: dict[str, str] = field(default_factory=dict)
 
     @property
     def failed_groups(self) -> int:
@@ -57,7 +59,7 @@ def run_control(
 ) -> ControlRun:
     """Run the groups' plans. ``recorded`` holds plan hashes by group: a plan that differs runs with a warning in its audit."""
     now = now or dt.datetime.now()
-    audit, parts, metrics = [], [], []
+    audit, parts, metrics, plans = [], [], [], {}
     for group in ordered_groups(groups, control):
         if only and group.group_id != only:
             continue
@@ -74,6 +76,7 @@ def run_control(
             entry.manual_edit_warning = results.plan_hash_changed(group.plan, (recorded or {}).get(group.group_id))
             ctx = Context({d: datasets[d] for d in wanted}, schemas or {}, as_of, collision_naming)
             planned = build(group.plan, ctx, [c.check_id for c in control.checks] if control else None, keep_shared=True)
+            plans[group.group_id] = planned.explain()
             found = results.all_violations(planned, control_id, control.severities() if control else None, now, spark)
             own = results.metrics(planned, control_id, control, now)
             entry.checks = results.checks_evaluated(found, planned, own)
@@ -88,14 +91,17 @@ def run_control(
                 planned.release()
     violations = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], results.VIOLATIONS)
     counts = Counter({r["severity"]: r["n_violations"] for r in results.severity_summary(violations).collect()})  # four rows at most
-    return ControlRun(control_id, violations, metrics, audit, dict(counts))
+    return ControlRun(control_id, violations, metrics, audit, dict(counts), plans)
 
 
 def write_run(run: ControlRun, folder: str | Path, table: str | None = None) -> None:
-    """metrics.json, audit.json and validation_report.json in a folder; the violations as a Parquet table at ``table`` (any
-    store), or else beside them."""
+    """metrics.json, audit.json and validation_report.json in a folder, and for each group its metrics, checks and physical plan;
+    the violations as a Parquet table at ``table`` (any store), or else beside them, in a folder a group."""
     folder = Path(folder)
-    run.violations.write.mode("overwrite").parquet(table or str(folder / "violations.parquet"))
+    run.violations.write.mode("overwrite").partitionBy("group_id").parquet(table or str(folder / "violations.parquet"))
+    for a in run.audit:
+        save(folder / "groups" / a.group_id / "results.json", {"metrics": [asdict(m) for m in run.metrics if m.group_id == a.group_id], "checks": a.checks, "status": a.status})
+        save(folder / "groups" / a.group_id / "plan.txt", run.plans.get(a.group_id, ""))
     save(folder / "metrics.json", [asdict(m) for m in run.metrics])
     save(folder / "audit.json", {"control_id": run.control_id, "groups": [asdict(a) for a in run.audit]})
     save(folder / "validation_report.json", run.report())

@@ -68,7 +68,8 @@ def test_metrics_and_report(done, tmp_path):
     assert {c["check_id"]: (c["violations"], c["type"]) for c in ok.checks} == {"C-1": (1, "row_level"), "C-2": (1, "aggregate"), "C-3": (1, "completeness"), "C-4": (2, "reconciliation"), "C-5": (2, "uniqueness"), "C-6": (1, "row_level"), "C-7": (0, "row_level")}
     write_run(done, tmp_path)
     assert json.loads((tmp_path / "validation_report.json").read_text())["overall"] == "FAIL"
-    assert {p.name for p in tmp_path.iterdir()} == {"violations.parquet", "metrics.json", "audit.json", "validation_report.json"}
+    assert {p.name for p in tmp_path.iterdir()} == {"violations.parquet", "metrics.json", "audit.json", "validation_report.json", "groups"}
+    assert "open_accounts" in (tmp_path / "groups/g1/plan.txt").read_text() and json.loads((tmp_path / "groups/g1/results.json").read_text())["metrics"][0]["metric_value"] == 0.25
 
 
 def test_no_groups_is_an_error(spark):
