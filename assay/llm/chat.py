@@ -86,6 +86,7 @@ def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     for k in reversed(range(len(steps))):
         higher = on_path.join(steps[k], ["tree", "node"]).where(F.col("depth") > (1 << k))
         on_path = on_path.unionByName(higher.select("tree", "leaf", "rank", F.col("up").alias("node"), (F.col("depth") - (1 << k)).alias("depth")))
+        on_path = stored(on_path, "path")  # each round reads it twice
     return on_path
 
 
