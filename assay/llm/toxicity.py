@@ -102,13 +102,13 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str, label_col: str, id_co
                 ends.append(np.array(stops, np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary()), pa.array(ends, pa.binary())], names=["h", "label", "ids", "ends"])
 
-    got = sample.mapInArrow(run, "h long, label double, ids binary, ends binary").collect()
-    return learn(sorted(got, key=lambda r: (r.h, r.label, bytes(r.ids))))
+    got = sample.mapInArrow(run, "h long, label double, ids binary, ends binary").toArrow().to_pylist()
+    return learn(sorted(got, key=lambda r: (r["h"], r["label"], r["ids"])))
 
 
 def learn(bags: list, rounds: int = 200, rate: float = 0.15, lasso: float = 0.01) -> Model:
     """The model of bags (label, ids, ends): a document's sentences' features, as bytes of 32-bit hashes and of the ends."""
-    docs = [(np.frombuffer(r.ids, np.uint32), np.frombuffer(r.ends, np.uint32), r.label) for r in bags if r.ends]
+    docs = [(np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["ends"], np.uint32), r["label"]) for r in bags if r["ends"]]
     y = np.array([label > 0 for _, _, label in docs])
     if not docs or y.all() or not y.any():
         return Model(-6.0, {})
@@ -119,11 +119,15 @@ def learn(bags: list, rounds: int = 200, rate: float = 0.15, lasso: float = 0.01
     n0 = n[np.searchsorted(every, values)] - n1
     chance = n0 * (y.sum() / (~y).sum())  # the documents of label 1 to expect if the feature said nothing
     values = values[(n1 >= LEAST_DOCS) & (n1 >= LEAST_LIFT * chance) & (n1 - chance >= LEAST_SIGMA * np.sqrt(chance + 1))]
-    flat = np.concatenate([ids for ids, _, _ in docs])
-    at = np.minimum(np.searchsorted(values, flat), max(len(values) - 1, 0))
-    kept = values[at] == flat if len(values) else np.zeros(len(flat), bool)
-    sentence = np.repeat(np.arange(sum(len(e) for _, e, _ in docs)), np.concatenate([np.diff(e, prepend=np.uint32(0)) for _, e, _ in docs]).astype(np.int64))
-    ids, sentence = at[kept], sentence[kept]
+    # where these are: the numbers of feature and sentence, a document at a time
+    places, sentences, before = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
+    for own, ends, _ in docs:
+        at = np.searchsorted(values, own).clip(max=max(len(values) - 1, 0))
+        kept = np.flatnonzero(values[at] == own) if len(values) else at[:0]
+        places.append(at[kept].astype(np.int32))
+        sentences.append((np.searchsorted(ends, kept, "right") + before).astype(np.int32))
+        before += len(ends)
+    ids, sentence = np.concatenate(places), np.concatenate(sentences)
     first = np.concatenate([[0], np.cumsum([len(e) for _, e, _ in docs])])
     doc_of = np.repeat(np.arange(len(docs)), np.diff(first))
     total, width = len(doc_of), len(values)
