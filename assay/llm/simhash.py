@@ -242,8 +242,8 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     same = F.col("__near_t1").eqNullSafe(F.col("__y")) & (F.col("__near_t2") == F.col("__z")) & F.col("__near_id").eqNullSafe(F.col("__x"))
 
     def texts_of(asked: DataFrame) -> DataFrame:
-        few = stored(rows.join(asked, "rid", "left_semi").select(F.col("id").alias("__x"), F.col("t1").alias("__y"), F.col("t2").alias("__z"), "rid"), "asked")
-        return marked.join(broadcast_if_small(few, 40), same).select("rid", F.col(text_col).cast("binary").alias("text"))
+        few = stored(rows.join(asked, "rid", "left_semi").select(F.col("id").alias("__x"), F.col("t1").alias("__y"), F.col("t2").alias("__z"), F.col("rid").alias("__rid")), "asked")
+        return marked.join(broadcast_if_small(few, 40), same).select(F.col("__rid").alias("rid"), F.col(text_col).cast("binary").alias("text"))
 
     one_each = wide.select("rid", "n", "prefix").join(texts.select(F.col("rep.rid").alias("rid")), "rid", "left_semi")
     parts = components(near_copy_links(one_each, texts_of))
