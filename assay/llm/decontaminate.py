@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_if_small, dropped, stored
+from .common import ascii_lower, broadcast_if_small, dropped, stored, tidy, unused
 
 #: Words are runs of other characters than these.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -56,7 +56,7 @@ def vocabulary(phrases: DataFrame) -> DataFrame:
 def build_index(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stored postings (key, d, t, pos) of every occurrence of the vocabulary's terms in whole texts, sorted by term in each segment."""
     tokens = _keyed(docs, id_col, text_col).select("d", "t", F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    found = tokens.join(broadcast_if_small(vocab, 64), "term").select("key", "d", "t", "pos")
+    found = tokens.join(broadcast_if_small(vocab), "term").select("key", "d", "t", "pos")
     return stored(found.sortWithinPartitions("key", "d", "t", "pos"), "postings")
 
 
@@ -75,29 +75,43 @@ def _near(start: Column, slop: int) -> Column:
 def matches(index: DataFrame, phrases: DataFrame, vocab: DataFrame, slop: int = 0) -> DataFrame:
     """(d, t, wid, start, m): every place where all words of a window stand, each at most ``slop`` words off its place.
 
-    ``phrases`` has (wid, phrase) with at most 62 words a phrase. ``start`` is where the rarest term puts the window.
+    ``phrases`` has (wid, phrase), phrases of any number of words. ``start`` is where the rarest term puts the window.
     """
     ranked = stored(_ranked(phrases, vocab, index), "windows")
-    first = ranked.select("wid", "m", "terms", F.col("terms")[0]["key"].alias("key"), F.col("terms")[0]["off"].alias("off"))
-    found = index.join(broadcast_if_small(first, 400), "key").select("d", "t", "wid", "m", "terms", (F.col("pos") - F.col("off")).alias("start"))
+    longest = ranked.agg(F.max("m")).first()[0] or 0
+    place = ["d", "t", "wid", "m", "start"]
+    first = ranked.select("wid", "m", F.col("terms")[0]["key"].alias("key"), F.col("terms")[0]["off"].alias("off"), F.get("terms", F.lit(1)).alias("next"))
+    first = first.select("wid", "m", "key", "off", F.col("next.key").alias("key2"), F.col("next.off").alias("off2"))
+    found = index.join(broadcast_if_small(first), "key").select("d", "t", "wid", "m", (F.col("pos") - F.col("off")).alias("start"), "key2", "off2")
     found = found.where("start >= 0") if not slop else found
-    alone = found.where("m = 1").select("d", "t", "wid", "start", "m")
+    alone = found.where("m = 1").select(place)
     # the second rarest
-    second = ranked.where("m > 1").select(F.col("terms")[1]["key"].alias("key")).distinct()
-    some = index.join(broadcast_if_small(second, 16), "key", "left_semi")
-    asked = found.where("m > 1").withColumn("key", F.col("terms")[1]["key"]).withColumn("pos", _near(F.col("start") + F.col("terms")[1]["off"], slop))
-    two = stored(asked.join(some, ["d", "t", "key", "pos"], "left_semi").select("d", "t", "wid", "m", "start", "terms").distinct(), "intersected")
+    some = index.join(broadcast_if_small(first.where("m > 1").select(F.col("key2").alias("key")).distinct()), "key", "left_semi")
+    asked = found.where("m > 1").select(*place, F.col("key2").alias("key"), _near(F.col("start") + F.col("off2"), slop).alias("pos"))
+    two = stored(asked.join(some, ["d", "t", "key", "pos"], "left_semi").select(place).distinct(), "intersected")
     # all others at once, in the documents that are left
-    left = two.where("m > 2").select("d", "t").distinct()
-    some = index.join(broadcast_if_small(left, 24), ["d", "t"], "left_semi")
-    asked = two.where("m > 2").select("d", "t", "wid", "m", "start", F.explode(F.expr("slice(terms, 3, m)")).alias("x"))
-    asked = asked.select("d", "t", "wid", "m", "start", F.col("x.key").alias("key"), F.col("x.off").alias("off"), _near(F.col("start") + F.col("x.off"), slop).alias("pos"))
-    # a bit for each term found; repeated rows of the corpus set the same bits
-    seen = asked.join(some, ["d", "t", "key", "pos"]).groupBy("d", "t", "wid", "start", "m").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("bits"))
-    rest = seen.where("bit_count(bits) = m - 2").select("d", "t", "wid", "start", "m")
-    return alone.distinct().unionByName(two.where("m = 2").select("d", "t", "wid", "start", "m")).unionByName(rest)
+    left = stored(two.where("m > 2").select("d", "t").distinct(), "candidates")
+    some = index.join(broadcast_if_small(left), ["d", "t"], "left_semi")
+    others = ranked.where("m > 2").select("wid", F.explode(F.expr("slice(terms, 3, m)")).alias("x")).select("wid", "x.key", "x.off")
+    asked = two.where("m > 2").join(broadcast_if_small(others), "wid").select(*place, "key", "off", _near(F.col("start") + F.col("off"), slop).alias("pos"))
+    # a bit for each term found, 62 to a number; repeated rows of the corpus set the same bits
+    bits = [F.bit_or(F.when(F.expr(f"off div 62 = {k}"), F.expr("shiftleft(1L, off % 62)")).otherwise(0)) for k in range(-(-longest // 62))]
+    seen = asked.join(some, ["d", "t", "key", "pos"]).groupBy(place).agg(sum(map(F.bit_count, bits), F.lit(0)).alias("n"))
+    rest = seen.where("n = m - 2").select(place)
+    return alone.distinct().unionByName(two.where("m = 2")).unionByName(rest).select("d", "t", "wid", "start", "m")
+
+
+def _matched(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, slop: int) -> tuple[DataFrame, DataFrame]:
+    """The matches of windows (item, phrase) in documents, and the windows (wid, phrase), both stored."""
+    phrases = stored(found.select("phrase").distinct().withColumn("wid", F.monotonically_increasing_id()), "phrases")
+    vocab = vocabulary(phrases)
+    index = build_index(docs, vocab, id_col, text_col)
+    hits = stored(matches(index, phrases, vocab, slop), "matches")
+    dropped(index)
+    return hits, phrases
 
 
+@tidy
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, slop: int = 0) -> DataFrame:
     """One row per row of ``docs``: id, d, t, n_words, n_hit, items (the ids found, as sorted strings).
 
@@ -106,17 +120,13 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     null id match but name no item. Other columns of either table are not looked at. Empty tables give no rows or no hits.
     """
     found = stored(windows(items, item_col, item_text_col, size), "phrases")
-    phrases = stored(found.select("phrase").distinct().withColumn("wid", F.monotonically_increasing_id()), "phrases")
-    vocab = vocabulary(phrases)
-    index = build_index(docs, vocab, id_col, text_col)
-    hits = stored(matches(index, phrases, vocab, slop), "matches")
-    dropped(docs.sparkSession, index)
+    hits, phrases = _matched(docs, found, id_col, text_col, slop)
     before = Window.partitionBy("d", "t").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     spans = hits.groupBy("d", "t", "start").agg(F.max("m").alias("m"))
     spans = spans.select("d", "t", "start", (F.col("start") + F.col("m")).alias("end")).withColumn("from", F.greatest("start", F.max("end").over(before)))
     n_hit = spans.where("end > from").groupBy("d", "t").agg(F.sum(F.col("end") - F.col("from")).alias("n_hit"))
     names = found.join(phrases, "phrase").select("wid", "item")
-    named = hits.select("d", "t", "wid").distinct().join(broadcast_if_small(names, 48), "wid").select("d", "t", "item").distinct()
+    named = hits.select("d", "t", "wid").distinct().join(broadcast_if_small(names), "wid").select("d", "t", "item").distinct()
     named = named.groupBy("d", "t").agg(F.sort_array(F.collect_set("item")).alias("items"))
     judged = _keyed(docs, id_col, text_col).select("id", "d", "t", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     judged = judged.join(n_hit.join(named, ["d", "t"], "left"), ["d", "t"], "left")
@@ -124,18 +134,17 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return judged.select("id", "d", "t", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
 
 
+@tidy
 def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, slop: int = 0) -> DataFrame:
     """The rows of ``docs``, as they are, in which no window of an item occurs."""
-    found = windows(items, item_col, item_text_col, size)
-    phrases = stored(found.select("phrase").distinct().withColumn("wid", F.monotonically_increasing_id()), "phrases")
-    vocab = vocabulary(phrases)
-    index = build_index(docs, vocab, id_col, text_col)
-    bad = stored(matches(index, phrases, vocab, slop).select("d", "t").distinct().toDF("__d", "__t"), "contaminated")
-    dropped(docs.sparkSession, index)
+    hits, _ = _matched(docs, windows(items, item_col, item_text_col, size), id_col, text_col, slop)
+    d, t = unused(docs, "d", "t")
+    bad = stored(hits.select("d", "t").distinct().toDF(d, t), "contaminated")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.join(broadcast_if_small(bad, 24), (F.xxhash64(docs[id_col]) == F.col("__d")) & (F.xxhash64(text) == F.col("__t")), "left_anti")
+    return docs.join(broadcast_if_small(bad), (F.xxhash64(docs[id_col]) == F.col(d)) & (F.xxhash64(text) == F.col(t)), "left_anti")
 
 
+@tidy
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Words of each document that occurrences of 10-word windows of the benchmark hit, and whose windows these are."""
     got = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, dropped, stored
+from .common import components, dropped, stored, tidy
 
 SIMILARITY = 0.95
 TABLES, PROBES, CLASS, GROUP = 12, 4, 256, 1024
@@ -109,6 +109,7 @@ def classes_of(x: np.ndarray, half: float, most: int) -> list[np.ndarray]:
     return out
 
 
+@tidy
 def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", similarity: float = SIMILARITY) -> DataFrame:
     """(id, n_links, component_id) of every row: the other rows found with a cosine of at least ``similarity`` in double precision.
 
@@ -210,7 +211,7 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
     found = both.select("one", "two", "members1", "radius1", "rids1", "xs1", "members2", "radius2", "rids2", "xs2")
     found = stored(found.mapInArrow(verified, "one long, two long, rids array<long>, counts array<long>"), "linked")
-    dropped(spark, put)
+    dropped(put)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,6 +230,7 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     return every.join(least, "part").select("id", "n_links", "component_id")
 
 
+@tidy
 def op4_embeddings(spark, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at a cosine of 0.95."""
     got = links(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

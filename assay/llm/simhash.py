@@ -10,8 +10,7 @@ listed.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import broadcast_if_small, components, dropped, stored
+from .common import components, stored, tidy
 
 SEED = 42
 #: Hashes whose bits are counted at a time.
@@ -74,12 +73,15 @@ def linked_fingerprints(fps: DataFrame, radius: int = 2) -> DataFrame:
     if radius not in (0, 2, 4):
         raise ValueError(f"radius must be 0, 2 or 4, not {radius}")
     ball = F.explode(F.array(*[F.lit(m) for m in masks(radius // 2)]))
-    met = fps.select("fp").distinct().select("fp", ball.alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
+    # each value becomes many rows, so the values are dealt to as many tasks as there are
+    values = fps.select("fp").distinct().repartition(fps.sparkSession.sparkContext.defaultParallelism * 4, "fp")
+    met = values.select("fp", ball.alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
     first = met.withColumn("first", F.min("fp").over(Window.partitionBy("variant")))
     pairs = first.where("first <> fp").select(F.col("first").alias("a"), F.col("fp").alias("b")).distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
+@tidy
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
     """One row per row of ``docs``: id, fp and component_id, the smallest id of the texts reachable by links.
 
@@ -96,174 +98,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named.join(smallest, "part").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
 
 
-#: Of the stage that keeps one of each group: words a shingle, similarity.
-NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
-#: Shingles found frequent in a sample come last in the order of shingles. Any order gives the same links, so these three
-#: change only the work: one in so many texts is looked at (all, of few texts), and so many shingles are listed.
-SAMPLED, SAMPLED_TEXTS, LISTED = 16, 20_000, 500_000
-#: Bounds on similarity are loosened by so much against rounding.
-EPS = 1e-9
-
-
-def _words(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
-
-
-def _shingles(text: bytes | None) -> set[tuple[bytes, ...]]:
-    """The distinct shingles of a whole text; a text of fewer words is one."""
-    words = _words(text)
-    return set(zip(*(words[k:] for k in range(NEAR_SHINGLE)), strict=False)) or {tuple(words)}
-
-
-def _shingle_hashes(text: bytes | None) -> np.ndarray:
-    """Ascending 64-bit hashes of ``_shingles``."""
-    words = _words(text)
-    if len(words) < NEAR_SHINGLE:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 1)], np.uint64).view(np.int64)
-    of = {w: xxhash.xxh64_intdigest(w, 1) for w in set(words)}
-    each = np.array([of[w] for w in words], np.uint64)
-    n = len(each) - NEAR_SHINGLE + 1
-    h = each[:n].copy()
-    for k in range(1, NEAR_SHINGLE):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + each[k : n + k]
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return np.unique((h ^ (h >> np.uint64(32))).view(np.int64))
-
-
-def _prefix(hashes: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first of a text's shingles in an order that all texts share, so many that a text at least NEAR_SIMILARITY alike
-    has one of them among its own: such a text shares at least NEAR_SIMILARITY of the shingles."""
-    n = len(hashes)
-    if len(often):
-        at = np.minimum(np.searchsorted(often, hashes), len(often) - 1)
-        hashes = hashes[np.lexsort((hashes, np.where(often[at] == hashes, counts[at], 0)))]
-    return hashes[: n - math.ceil(NEAR_SIMILARITY * n - EPS) + 1]
-
-
-def _frequent(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending hashes of shingles that are frequent in a sample of texts (t1, text), and their counts there."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, counts = np.unique(np.concatenate([_shingle_hashes(t) for t in batch.column(0).to_pylist()] or [np.zeros(0, np.int64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts.astype(np.int64))], names=["h", "n"])
-
-    some = texts.where(F.pmod("t1", F.lit(SAMPLED)) == 0) if n > SAMPLED_TEXTS else texts
-    counted = some.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2")
-    found = counted.orderBy(F.desc("n"), "h").limit(LISTED).toArrow()
-    keys = found.column("h").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], found.column("n").to_numpy()[order]
-
-
-def _may_be_alike(xn, xpos, yn, ypos):
-    """Whether texts of so many shingles, with their first common one at these places of the order, can be alike enough."""
-    after = F.lit(1) + F.least(xn - xpos, yn - ypos) - 1
-    return (F.least(xn, yn) >= F.greatest(xn, yn) * F.lit(NEAR_SIMILARITY) - EPS) & (after >= (xn + yn) * F.lit(NEAR_SIMILARITY / (1 + NEAR_SIMILARITY)) - EPS)
-
-
-def _verified(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Those of the pairs (a, b) whose whole texts have a similarity of at least NEAR_SIMILARITY."""
-    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct())
-    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-
-    def alike(x: bytes | None, y: bytes | None) -> bool:
-        s, t = _shingles(x), _shingles(y)
-        common = len(s & t)
-        return common >= NEAR_SIMILARITY * (len(s) + len(t) - common) - EPS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [alike(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def near_copy_links(prefixes: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Edges (a, b) that connect all near copies among rows (rid, n, prefix): rows whose texts' sets of five-word shingles,
-    n of them, are at least NEAR_SIMILARITY alike. ``texts_of`` gives (rid, text) of rows (rid).
-
-    Near copies share a shingle of their prefixes, and meet at it. First each row is compared with the smallest and the
-    largest there, which links a large group of copies without listing its pairs. Then all rows that meet and are not yet
-    connected are compared with each other. So no pair is left out but those that the first step has connected, and every
-    link is verified on the whole texts.
-    """
-    spark = prefixes.sparkSession
-    at = Window.partitionBy("h")
-    met = prefixes.select("rid", "n", F.posexplode("prefix").alias("pos", "h"))
-    row = F.struct("rid", "n", "pos")
-    met = met.withColumns({"lo": F.min(row).over(at), "hi": F.max(row).over(at)}).where("lo.rid <> hi.rid")
-    met = stored(met, "met")
-    stars = met.select("rid", "n", "pos", F.explode(F.array("lo", "hi")).alias("o")).where("rid <> o.rid")
-    stars = stars.where(_may_be_alike(F.col("n"), F.col("pos"), F.col("o.n"), F.col("o.pos")))
-    stars = stored(stars.select(F.least("rid", "o.rid").alias("a"), F.greatest("rid", "o.rid").alias("b")).distinct(), "pairs")
-    links = stored(_verified(stars, texts_of), "links")
-    parts = components(links)
-    placed = met.select("h", "rid", "n", "pos").join(parts, met.rid == parts.node, "left").select("h", "rid", "n", "pos", F.coalesce("component", "rid").alias("part"))
-    apart = placed.groupBy("h").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("h")
-    left = stored(placed.join(apart, "h", "left_semi"), "apart")
-    one, other = (left.toDF("h", *[f"{k}_{c}" for c in ("rid", "n", "pos", "part")]) for k in "xy")
-    rest = one.join(other, "h").where("x_rid < y_rid and x_part <> y_part").where(_may_be_alike(F.col("x_n"), F.col("x_pos"), F.col("y_n"), F.col("y_pos")))
-    rest = rest.select(F.col("x_rid").alias("a"), F.col("y_rid").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    rest = stored(rest, "pairs")
-    more = stored(_verified(rest, texts_of), "links")
-    for done in (met, left, stars, rest):
-        dropped(spark, done)
-    return links.unionByName(more)
-
-
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near copies: of each component of ``near_copy_links`` the row with the smallest id stays.
-
-    Equal texts are copies whatever their length, null and empty ones too; of repeated rows one stays. A null id comes
-    after all others. All columns are kept as they are.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = [F.col(id_col).alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2")]
-
-    spark = docs.sparkSession
-    given = docs.select(*key, text.cast("binary").alias("text"))
-    often = spark.sparkContext.broadcast(_frequent(given, docs.count()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes = [_shingle_hashes(t.as_py()) for t in batch.column(3)]
-            prefixes = pa.array([_prefix(h, *often.value) for h in hashes], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(h) for h in hashes], pa.int32()), prefixes], names=["id", "t1", "t2", "n", "prefix"])
-
-    kind = T.StructType([*given.schema.fields[:3], T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
-    wide = stored(given.mapInArrow(run, kind).withColumn("rid", F.monotonically_increasing_id()), "prefixes")  # rid holds from here
-    rows = stored(wide.select("id", "t1", "t2", "rid"), "rows")
-    order = F.struct(F.col("id").isNull().alias("no"), "id", "rid")
-    texts = stored(rows.groupBy("t1", "t2").agg(F.min(order).alias("rep")), "texts")
-    names = {"id": "__near_id", "t1": "__near_t1", "t2": "__near_t2"}
-    marked = docs.withColumns({names[k]: c for k, c in zip(names, key, strict=True)})
-    same = F.col("__near_t1").eqNullSafe(F.col("__y")) & (F.col("__near_t2") == F.col("__z")) & F.col("__near_id").eqNullSafe(F.col("__x"))
-
-    def texts_of(asked: DataFrame) -> DataFrame:
-        few = stored(rows.join(asked, "rid", "left_semi").select(F.col("id").alias("__x"), F.col("t1").alias("__y"), F.col("t2").alias("__z"), F.col("rid").alias("__rid")), "asked")
-        return marked.join(broadcast_if_small(few, 40), same).select(F.col("__rid").alias("rid"), F.col(text_col).cast("binary").alias("text"))
-
-    one_each = wide.select("rid", "n", "prefix").join(texts.select(F.col("rep.rid").alias("rid")), "rid", "left_semi")
-    parts = components(near_copy_links(one_each, texts_of))
-    dropped(spark, wide)
-    named = texts.join(parts, F.col("rep.rid") == parts.node, "left").withColumn("part", F.coalesce("component", "rep.rid"))
-    kept = named.groupBy("part").agg(F.min(F.struct("rep.no", "rep.id", "rep.rid", "t1", "t2")).alias("x")).select("x.id", "x.t1", "x.t2")
-    kept = stored(kept, "kept")
-
-    def among(few: DataFrame, how: str, of: DataFrame) -> DataFrame:
-        x = broadcast_if_small(few.toDF("__x", "__y", "__z"), 32)
-        return of.join(x, same, how)
-
-    out = among(kept, "left_semi", marked)
-    repeated = rows.groupBy("id", "t1", "t2").count().where("count > 1").select("id", "t1", "t2")
-    if not repeated.isEmpty():
-        repeated = stored(repeated, "repeated")
-        out = among(repeated, "left_anti", out).unionByName(among(repeated, "left_semi", out).dropDuplicates(list(names.values())))
-    return out.drop(*names.values())
-
-
+@tidy
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprints and components of all documents: 3-word shingles, links at 2 or fewer differing bits."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle=3, radius=2)

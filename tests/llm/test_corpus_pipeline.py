@@ -1,6 +1,6 @@
 import random
 
-from assay.llm.simhash import one_of_each_group
+from assay.llm.nearcopies import one_of_each_group
 
 
 def shingles(text, k=5):
