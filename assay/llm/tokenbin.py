@@ -1,7 +1,7 @@
 """Token ids in a compressed block format.
 
 Format: a Parquet table of blocks and one of the shared frequency table. A block holds whole documents and decodes alone. Its
-ids are coded by a static range asymmetric numeral system with 64-bit states and 32-bit words: id i goes to lane i mod
+ids are coded by a static range asymmetric numeral system with 52-bit states and 32-bit words: id i goes to lane i mod
 lanes, and all lanes are coded side by side into one stream of words, so coding is array operations on one element a lane.
 At every CHECKPOINT steps a block keeps the lanes' states and the place in the stream, from which decoding can start too. CRC-32
 checksums of the words and of the ids are checked on reading. Only Spark's readers and writers touch the files, so they
@@ -14,42 +14,36 @@ n, lanes, states, words, points (steps), point_states, point_words, words_crc32,
 from __future__ import annotations
 
 import re
-import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, dropped, scratch_dir, stored
+from .common import broadcast_if_small, dropped, scratch_path, stored, tidy
 
 BLOCK, LANES, CHECKPOINT, PRECISION = 1 << 20, 4096, 128, 20
-LOW = np.uint64(1 << 31)
+#: States stay between this and 2 ** 52, so that doubles divide them exactly.
+LOW = np.uint64(1 << PRECISION)
 END = 0
-#: Pieces of text whose ids a worker remembers.
-REMEMBERED = 900_000
+#: Distinct pieces that are tokenized at a time, and bytes of text whose pieces are made distinct.
+ASKED, LOT = 20_000, 32 << 20
 
+#: Signs that are no letters or digits, nor an apostrophe, and a letter or digit before them: there a new token begins too.
+_MARKS, _BEFORE_MARKS = ".,;:!?*#%$&+-=_/()[]{}<>|~\"@^", "[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]$"
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
-def _byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from U+0100 on."""
-    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    others = [b for b in range(256) if b not in own]
-    return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(others)}
-
-
 class Encoder:
-    """A byte-level tokenizer of the ``tokenizers`` library that remembers the ids of pieces.
+    """A byte-level tokenizer of the ``tokenizers`` library that tokenizes each distinct piece of many texts once.
 
     Byte-level pre-tokenizing never joins text across a single space between two other characters: the space starts the
-    next token. So a text's ids are those of its pieces cut there, each with its space. Other spaces are not cut at. A piece
-    of Latin letters is one pre-token, which the library's model is asked for directly; commas and the like behind it are
-    another. All other pieces go through the whole tokenizer.
+    next token. So a text's ids are those of its pieces cut there, each with its space. Other spaces are not cut at. The
+    distinct pieces are tokenized as one text, in which a piece begins where a token begins with a space.
     """
 
     _known: dict[str, Encoder] = {}
@@ -63,9 +57,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.ids: dict[str, bytes] = {}
-        self.ends: dict[str, bytes] = {}
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(" " in t for t in self.specials):
+            raise ValueError("a special token holds a space")
+        # a byte-level vocabulary writes the space as U+0120
+        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(self.size)])
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -74,51 +70,88 @@ class Encoder:
             cls._known[path] = cls(path)
         return cls._known[path]
 
-    def _fresh(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _add(self, pieces: list[str]) -> None:
-        """Remember pieces, each as it is after a space."""
-        ids, code, tokenize = self.ids, "H" if self.kind == np.uint16 else "I", self.model.tokenize
-        space = self.letters[0x20]
-        words, ended, other = set(), [], []
-        for p in pieces:
-            word = p.rstrip(".,;:!?")
-            if word.isalpha() and max(word) < "\u0250":
-                if word not in ids:
-                    words.add(word)
-                if word != p:
-                    ended.append((p, word, p[len(word) :]))
-            else:
-                other.append(p)
-        for w in words:
-            shown = w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
-            ids[w] = array(code, [t.id for t in tokenize(space + shown)]).tobytes()
-        new = list({end for _, _, end in ended}.difference(self.ends))
-        self.ends.update(zip(new, self._fresh(new), strict=True))
-        for p, word, end in ended:
-            ids[p] = ids[word] + self.ends[end]
-        ids.update(zip(other, self._fresh([" " + p for p in other]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each whole text, as bytes of ``kind``."""
-        cut = [text.split(" ") for text in texts]
-        if len(self.ids) > REMEMBERED:
-            self.ids.clear()
-            self.ends.clear()
-        self._add([p for p in set().union(*cut).difference(self.ids) if p and not p[0].isspace() and not p[-1].isspace()])
-        first = self._fresh([pieces[0] for pieces in cut])
-        get, out = self.ids.__getitem__, []
-        for text, pieces, start in zip(texts, cut, first, strict=True):
-            del pieces[0]
-            try:
-                out.append(start + b"".join(map(get, pieces)))
-            except KeyError:  # a space beside white space: pieces that begin or end with it, or are empty, are never remembered
-                some = _BETWEEN.split(text)
-                out.append(b"".join(self._fresh([some[0], *[" " + p for p in some[1:]]])))
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _after_space(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces that neither begin nor end with white space, each as it is after a space, and how many each has."""
+        if not pieces:
+            return np.zeros(0, self.kind), np.zeros(0, np.int64)
+        ids = self._ids([" " + " ".join(pieces)])[0]
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) == len(pieces) and not starts[0]:
+            return ids, np.diff(starts, append=len(ids))
+        some = self._ids([" " + p for p in pieces])
+        return np.concatenate(some), np.array([len(x) for x in some])
+
+    def _listed(self, ids: list[np.ndarray], sizes: list[int]) -> pa.Array:
+        """Consecutive ids, cut into values of so many ids, as bytes."""
+        data = np.concatenate([*ids, np.zeros(0, self.kind)])
+        offsets = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))]) * data.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """The ids of each whole text, as bytes of ``kind``. No text is null."""
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.string())
+        if not len(texts):
+            return []
+        cut = pc.split_pattern(texts, " ")
+        pieces = cut.flatten().dictionary_encode()
+        ends = cut.offsets.to_numpy()
+        ends = ends - ends[0]
+        which, distinct, first = pieces.indices.to_numpy().astype(np.int32), pieces.dictionary, ends[:-1]
+        # a piece that begins or ends with white space, or is empty, can't be cut off
+        firm = pc.and_(pc.equal(distinct, pc.utf8_trim_whitespace(distinct)), pc.greater(pc.binary_length(distinct), 0)).to_numpy(zero_copy_only=False)
+        # signs at a piece's end are a piece of their own, without a space
+        words = pc.utf8_rtrim(distinct, characters=_MARKS)
+        marked = pc.and_(pc.and_(pa.array(firm), pc.not_equal(words, distinct)), pc.match_substring_regex(words, _BEFORE_MARKS))
+        for special in self.specials:
+            marked = pc.and_not(marked, pc.match_substring(distinct, special))
+        words = pc.if_else(marked, words, distinct).dictionary_encode()
+        ends_in = [p[len(w) :] for p, w in zip(distinct.filter(marked).to_pylist(), words.filter(marked).cast(pa.string()).to_pylist(), strict=True)]
+        marks = pa.array(ends_in, pa.string()).dictionary_encode()
+        marks_ids = self._ids(marks.dictionary.to_pylist())
+        firm_ones = np.unique(words.indices.to_numpy()[firm])
+        found, sizes = [], np.zeros(len(words.dictionary), np.int64)
+        for at in range(0, len(firm_ones), ASKED):
+            some = firm_ones[at : at + ASKED]
+            ids, sizes[some] = self._after_space(words.dictionary.take(pa.array(some)).to_pylist())
+            found.append(ids)
+        # each distinct piece as its word, then its signs or else nothing
+        both = np.full((len(distinct), 2), len(sizes) + len(marks_ids), np.int32)
+        both[:, 0] = words.indices.to_numpy()
+        both[np.flatnonzero(marked.to_numpy(zero_copy_only=False)), 1] = marks.indices.to_numpy() + len(sizes)
+        pairs = self._listed([*found, *marks_ids], [*sizes, *map(len, marks_ids), 0]).take(pa.array(both.ravel()))
+        # the first piece of each text has no space before it, whatever else it has
+        starts = self._ids(distinct.take(pa.array(which[first])).to_pylist())
+        _, offsets, data = pairs.buffers()
+        at = np.frombuffer(offsets, np.int32)[: 2 * len(distinct) + 1 : 2]
+        known = self._listed([np.frombuffer(data, self.kind, int(at[-1]) // self.kind().itemsize), *starts], [*np.diff(at) // self.kind().itemsize, *map(len, starts)])
+        loose = ~firm[which]
+        loose[first] = False
+        odd = np.flatnonzero(np.add.reduceat(loose, first))
+        which[first] = np.arange(len(distinct), len(distinct) + len(starts), dtype=np.int32)
+        _, offsets, data = known.take(pa.array(which)).buffers()
+        at = np.frombuffer(offsets, np.int32)[ends].tolist()
+        out = [data[s:e].to_pybytes() for s, e in zip(at, at[1:], strict=False)]
+        for i in odd.tolist():
+            some = _BETWEEN.split(texts[i].as_py())
+            out[i] = b"".join(x.tobytes() for x in self._ids([some[0], *[" " + p for p in some[1:]]]))
         return out
 
 
+def lots(texts: pa.Array, size: int = LOT) -> Iterator[tuple[int, int]]:
+    """(start, rows) of consecutive parts of about so many bytes."""
+    total = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < len(total):
+        before = int(total[at - 1]) if at else 0
+        n = max(1, int(np.searchsorted(total, before + size, "right")) - at)
+        yield at, n
+        at += n
+
+
 class Frequencies:
     """The shared table: how many of 2 ** PRECISION slots each id has; every id that occurs has one at least."""
 
@@ -144,7 +177,8 @@ class Frequencies:
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Slots and first slot of each id, and the id of each slot."""
         f = self.slots.astype(np.uint64)
-        return f, (np.cumsum(self.slots) - self.slots).astype(np.uint64), np.repeat(np.arange(len(f)), self.slots)
+        kind = np.uint16 if len(f) <= 1 << 16 else np.uint32
+        return f, (np.cumsum(self.slots) - self.slots).astype(np.uint64), np.repeat(np.arange(len(f)).astype(kind), self.slots)
 
 
 def encode_block(ids: np.ndarray, f: np.ndarray, first: np.ndarray, lanes: int = LANES, every: int = CHECKPOINT) -> dict:
@@ -152,20 +186,20 @@ def encode_block(ids: np.ndarray, f: np.ndarray, first: np.ndarray, lanes: int =
     n = len(ids)
     lanes = max(1, min(lanes, n // 64))
     steps = -(-n // lanes)
-    p = np.uint64(PRECISION)
     x = np.full(lanes, LOW, np.uint64)
     out: list[np.ndarray] = []
     n_words = 0
     points, states, places = [], [], []
+    most, exact, rest = f << np.uint64(32), f.astype(float), np.uint64(1 << PRECISION) - f
     for s in range(steps - 1, -1, -1):
         own = ids[s * lanes : (s + 1) * lanes]
         live = x[: len(own)]
-        fs = f[own]
-        full = live >= fs << np.uint64(63 - PRECISION)
-        words = (live[full] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        full = live >= most[own]
+        words = live[full].astype(np.uint32)
         live = np.where(full, live >> np.uint64(32), live)
-        div, mod = np.divmod(live, fs)
-        x[: len(own)] = (div << p) + mod + first[own]
+        # under f * 2 ** 32 and so 2 ** 52, where the floor of the quotient of doubles is exact
+        times = (live.astype(float) / exact[own]).astype(np.uint64)
+        x[: len(own)] = live + times * rest[own] + first[own]
         out.append(words)
         n_words += len(words)
         if s and s % every == 0:
@@ -195,7 +229,7 @@ def decode_block(b: dict, f: np.ndarray, first: np.ndarray, symbol: np.ndarray,
         begin, at = b["points"][start - 1], b["point_words"][start - 1]
         x = np.frombuffer(b["point_states"], np.uint64).reshape(-1, lanes)[start - 1].copy()
     end = b["points"][stop - 1] if stop is not None and stop <= len(b["points"]) else steps
-    out = np.empty(max(0, min(n, end * lanes) - begin * lanes), np.int64)
+    out = np.empty(max(0, min(n, end * lanes) - begin * lanes), np.uint32)
     p, mask = np.uint64(PRECISION), np.uint64((1 << PRECISION) - 1)
     for s in range(begin, end):
         m = min(lanes, n - s * lanes)
@@ -214,36 +248,41 @@ def decode_block(b: dict, f: np.ndarray, first: np.ndarray, symbol: np.ndarray,
 
 
 def _blocks(docs: DataFrame, tokenizer: str, id_col: str, text_col: str) -> DataFrame:
-    """Uncoded blocks (part, block, doc_ids, lengths, ids) in the order of ids, then of texts' hashes; null ids come first."""
+    """Uncoded blocks (part, block, doc_ids, lengths, ids) in the order of ids, then of texts' hashes; null ids come first. The
+    last block of a part has in (seen, times) which ids the part has, and how often."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, block = Encoder.at(tokenizer), TaskContext.get().partitionId(), 0
-        end = np.array([END], encoder.kind).tobytes()
+        end, seen = np.array([END], encoder.kind).tobytes(), np.zeros(encoder.size, np.int64)
         doc_ids, lengths, held, size = [], [], [], 0
 
-        def out() -> pa.RecordBatch:
-            wide = np.frombuffer(b"".join(held), encoder.kind)
-            cols = [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([wide.astype("<u2" if encoder.kind == np.uint16 else "<u4").tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, names=["part", "block", "doc_ids", "lengths", "ids"])
+        def out(last: bool) -> pa.RecordBatch:
+            nonlocal block, doc_ids, lengths, held, size, seen
+            ids = np.frombuffer(b"".join(held), encoder.kind)
+            seen += np.bincount(ids, minlength=encoder.size)
+            some = np.flatnonzero(seen) if last else []
+            cols = [[part], [block], [doc_ids], [lengths], [ids.astype("<u2" if encoder.kind == np.uint16 else "<u4").tobytes()], [some], [seen[some] if last else []]]
+            row = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["part", "block", "doc_ids", "lengths", "ids", "seen", "times"])
+            block, doc_ids, lengths, held, size = block + 1, [], [], [], 0
+            return row
 
         for batch in batches:
             own = batch.column(0).to_pylist()
-            for lot in range(0, len(own), 200):
-                for doc, ids in zip(own[lot : lot + 200], encoder.encode(batch.column(1).slice(lot, 200).to_pylist()), strict=True):
+            for at, rows in lots(batch.column(1)):
+                for doc, ids in zip(own[at : at + rows], encoder.encode(batch.column(1).slice(at, rows)), strict=True):
+                    if size >= BLOCK:
+                        yield out(False)
                     doc_ids.append(doc)
                     lengths.append(len(ids) // encoder.kind().itemsize + 1)
                     held += [ids, end]
                     size += lengths[-1]
-                    if size >= BLOCK:
-                        yield out()
-                        block += 1
-                        doc_ids, lengths, held, size = [], [], [], 0
         if doc_ids:
-            yield out()
+            yield out(True)
 
-    return rows.mapInArrow(run, "part int, block int, doc_ids array<long>, lengths array<long>, ids binary")
+    kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    return rows.mapInArrow(run, "part int, block int, doc_ids array<long>, lengths array<long>, ids binary, seen array<int>, times array<long>")
 
 
 _KIND = "part int, block int, doc_ids array<long>, lengths array<long>, n long, lanes int, states binary, words binary, points array<int>, point_states binary, point_words array<long>, words_crc32 long, ids_crc32 long"
@@ -261,16 +300,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     size, width = encoder.size, np.dtype(encoder.kind).itemsize
     raw = stored(_blocks(docs, tokenizer, id_col, text_col), "ids")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_py(), f"<u{width}"), minlength=size)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
-
     counts = np.zeros(size, np.int64)
-    for r in raw.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n")).collect():  # a row an id of the vocabulary
+    times = raw.where(F.size("seen") > 0).select(F.explode(F.arrays_zip("seen", "times")).alias("x")).groupBy("x.seen").agg(F.sum("x.times").alias("n"))
+    for r in times.collect():  # a row an id of the vocabulary
         counts[r[0]] = r[1]
     table = Frequencies(counts)
     spark.createDataFrame([(i, int(n)) for i, n in enumerate(table.slots)], "id long, slots long").coalesce(1).write.parquet(f"{path}/frequencies")
@@ -284,8 +316,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
                 b = {"part": part, "block": block, "doc_ids": doc_ids, "lengths": lengths} | encode_block(np.frombuffer(ids, f"<u{width}"), f, first)
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(b.values(), _ARROW, strict=True)], names=list(b))
 
-    raw.mapInArrow(code, _KIND).write.parquet(f"{path}/blocks")
-    dropped(spark, raw)
+    raw.drop("seen", "times").mapInArrow(code, _KIND).write.parquet(f"{path}/blocks")
+    dropped(raw)
 
 
 def read(spark, path: str) -> DataFrame:
@@ -327,13 +359,14 @@ def _read(spark, path: str, column: str, value, kind: pa.DataType) -> DataFrame:
     earlier = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     start = blocks.select("part", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first")).join(F.broadcast(offset), "part")
     start = start.select("part", "block", (F.col("first") + F.col("offset")).alias("first"))
-    return docs.join(broadcast_if_small(start, 24), ["part", "block"]).select("doc_id", (F.col("first") + F.col("inside")).alias("start"), "n_tokens", column.split(" ")[0])
+    return docs.join(broadcast_if_small(start), ["part", "block"]).select("doc_id", (F.col("first") + F.col("inside")).alias("start"), "n_tokens", column.split(" ")[0])
 
 
+@tidy
 def op8_token_ids(spark, sf_dir: str) -> DataFrame:
     """Ids of every document, written and read back: where they start, how many they are, and their CRC-32."""
     import public_tokenizers
 
-    path = f"{scratch_dir(spark)}/assay-tokens-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "tokens")
     write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return _read(spark, path, "ids_crc32 long", zlib.crc32, pa.int64())
