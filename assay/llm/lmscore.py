@@ -1,174 +1,267 @@
 """Cross-entropy difference: how much better a target model predicts a document than a background model does.
 
-Two bigram models, matched in all but their texts: one vocabulary (the most frequent words of all documents; others are one
-unknown word), one set of bigrams, one smoothing. The target model counts the target documents, the background model all
-others. A document's score is the mean over its words of the target model's loss minus the background model's: the lower,
-the more it is like the target. Counts cover all documents. Tasks count before they shuffle, so a frequent word or bigram is
-one row a task.
+Two bigram models, matched in all but their texts: one vocabulary (every word of every document), one set of bigrams (all of
+them), one smoothing. The target model counts the target documents, the background model all others. A text's events are its
+words and its end; the loss of an event under a model is
+
+    log(count(previous) + S) - log(count(previous, event) + S * share(event))
+
+where the start of a text is previous to its first word. A document's score is the mean over its events of the target
+model's loss minus the background model's: the lower, the more it is like the target.
+
+No count is left out and none is sent to the driver: there are more distinct bigrams than any machine's memory holds. Texts
+lie in blocks of bounded size. Each block asks for its distinct words and bigrams, under 64-bit hashes, once, with its own
+counts of them; what is asked is dealt by hash to parts, which add up the counts of all blocks and answer each block in the
+order of its questions. The block then scores its texts. A frequent word or bigram is one question a block, so no part is
+hot. Questions and answers travel as packed arrays, a row for each block and part.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import broadcast_if_small, stored
+from .common import broadcast_if_small, dropped, stored, tidy
+from .wordhash import mixed, parts, word_hashes
 
-#: Sizes of the models, which are broadcast: words, and bigrams that have weights of their own (the rarer ones get what the
-#: smoothing gives them; the cutoff is the least count that leaves no more than this).
-VOCABULARY, BIGRAMS = 1 << 15, 1 << 21
 SMOOTHING, UNIGRAM_ADD = 50.0, 0.5
-#: Words and tokens that a task holds before it hands on its counts.
-HELD_WORDS, HELD_TOKENS = 500_000, 4_000_000
-
+#: Bytes of texts in a block (a longer text is one alone), and in all blocks for each part.
+BLOCK, PART = 4 << 20, 8 << 20
+START, END = np.uint64(1), np.uint64(2)
+WORDS, BIGRAMS = 0, 1
+
+
+class Events:
+    """The events of some texts, and the distinct words and bigrams among them, ascending."""
+
+    def __init__(self, texts: pa.Array):
+        hashes, at = word_hashes(texts)
+        self.n_words = np.diff(at)
+        some = np.flatnonzero(self.n_words)  # texts without words have no events
+        sizes = self.n_words[some] + 1
+        last = np.cumsum(sizes) - 1
+        event = np.full(int(sizes.sum()), END, np.uint64)
+        own = np.ones(len(event), bool)
+        own[last] = False
+        event[own] = hashes
+        self.some, self.sizes, self.first = some, sizes, last - sizes + 1
+        previous = np.empty_like(event)
+        previous[1:] = event[:-1]
+        previous[self.first] = START
+        bigram = mixed(previous * np.uint64(0xD1342543DE82EF95) + event)
+        del previous, own, hashes
+        self.bigrams, self.which_bigram = _numbered(bigram)
+        del bigram
+        self.words, which = _numbered(np.concatenate([event, np.full(1, START, np.uint64)]))
+        self.which_word, self.start = which[:-1], which[-1]
+
+    def counts(self, kind: int, target: np.ndarray) -> np.ndarray:
+        """(2, distinct): how often each occurs in texts whose ``target`` is 1, and in those where it is 0."""
+        of = np.repeat(target[self.some], self.sizes)
+        which, n = (self.which_word, len(self.words)) if kind == WORDS else (self.which_bigram, len(self.bigrams))
+        out = np.stack([np.bincount(which[of == m], minlength=n) for m in (1, 0)]).astype(np.uint64)
+        if kind == WORDS:
+            out[:, self.start] = [(target[self.some] == m).sum() for m in (1, 0)]
+        return out
+
+    def losses(self, words: np.ndarray, bigrams: np.ndarray, total: np.ndarray, size: int) -> np.ndarray:
+        """(2, texts): the mean loss of each text under both models, from the counts of words and bigrams in all texts."""
+        out = np.zeros((2, len(self.n_words)))
+        previous = np.empty_like(self.which_word)
+        previous[1:] = self.which_word[:-1]
+        previous[self.first] = self.start
+        for m in (0, 1):
+            rest = SMOOTHING * (words[m] + UNIGRAM_ADD) / (total[m] + UNIGRAM_ADD * size)
+            loss = np.log(words[m] + SMOOTHING)[previous] - np.log(bigrams[m][self.which_bigram] + rest[self.which_word])
+            if len(loss):
+                out[m, self.some] = np.add.reduceat(loss, self.first) / self.sizes
+        return out
+
+
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, and the number of each key among them."""
+    order = np.argsort(keys)
+    own = keys[order]
+    new = np.ones(len(own), bool)
+    new[1:] = own[1:] != own[:-1]
+    which = np.empty(len(own), np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - 1
+    return own[new], which
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words of a whole text: runs without ASCII white space, A-Z lower-cased."""
-    return (text or b"").lower().split()
 
+def _bounds(keys: np.ndarray, n_parts: int) -> np.ndarray:
+    """Where the keys of each of the parts begin among ascending ones, and the last one's end: parts are equal ranges of hashes."""
+    cuts = np.array([(p << 64) // n_parts for p in range(1, n_parts)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, cuts), [len(keys)]]).astype(np.int64)
 
-class Models:
-    """Both models. Word 0 is any unknown word, and the start of a text stands before its first word as number 1."""
 
-    def __init__(self, words: list[bytes], keys: np.ndarray, counts: np.ndarray, singles: np.ndarray):
-        """``keys``: ascending bigrams, previous * VOCABULARY + next; ``counts`` (2, keys) and ``singles`` (2, words) by model."""
-        self.base = VOCABULARY
-        self.number = {w: i + 2 for i, w in enumerate(words)}
-        self.size = size = len(words) + 2
-        self.keys = keys
-        uni = (singles + UNIGRAM_ADD) / (singles.sum(axis=1, keepdims=True) + UNIGRAM_ADD * size)
-        self.after = np.stack([np.bincount(keys // VOCABULARY, weights=c, minlength=size) for c in counts]) if len(keys) else np.zeros((2, size))
-        self.rest = SMOOTHING * uni
-        self.counts = counts
+def _blocks(docs: DataFrame) -> DataFrame:
+    """Rows (id, target, text) with a block of about BLOCK bytes of texts, stored."""
+    kind = T.StructType([T.StructField("block", T.LongType()), T.StructField("rid", T.LongType()), *docs.schema.fields])
 
-    def __reduce__(self):
-        return _restored, (self.__dict__,)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        rid, held = 0, 0
+        for batch in batches:
+            _, at = parts(batch.column(2))
+            block = first + (held + at[1:]) // BLOCK
+            numbers = first + np.arange(rid, rid + batch.num_rows)
+            rid, held = rid + batch.num_rows, held + int(at[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(numbers), *batch.columns], names=kind.names)
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        get = self.number.get
-        return np.array([get(w, 0) for w in words], np.int64)
+    return stored(docs.mapInArrow(run, kind), "blocks")
 
-    def losses(self, own: np.ndarray) -> np.ndarray:
-        """(2, tokens): the loss of each token under the target and the background model."""
-        before = np.concatenate([[1], own[:-1]])
-        key = before * self.base + own
-        extra = np.zeros((2, len(own)))
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            extra[:, hit] = self.counts[:, at[hit]]
-        return np.log(self.after[:, before] + SMOOTHING) - np.log(extra + self.rest[:, own])
 
+def _units(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.Table]:
+    """The rows of each block, as far as they are next to each other; no more of a block than a task reads in a go."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        table = pa.Table.from_batches([batch]).select(columns)
+        block = table.column("block").to_numpy()
+        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if s == e:
+                continue
+            if held and held[0].column("block")[0].as_py() != block[s]:
+                yield pa.concat_tables(held).combine_chunks()
+                held = []
+            held.append(table.slice(s, e - s))
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
 
-def _restored(parts: dict) -> Models:
-    models = Models.__new__(Models)
-    models.__dict__.update(parts)
-    return models
 
+def _flags(target: pa.ChunkedArray) -> np.ndarray:
+    """1 for true, 0 for false, 2 for null."""
+    return target.cast(pa.int8()).fill_null(2).to_numpy()
 
-def _vocabulary(docs: DataFrame) -> list[bytes]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+_ASKED = "block long, rid long, kind int, part int, keys binary, n1 binary, n0 binary"
+_ANSWERED = "block long, rid long, kind int, part int, n1 binary, n0 binary, events long, t1 long, t0 long"
 
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(tokens(text.as_py()))
-                if len(seen) >= HELD_WORDS:
-                    yield out()
-                    seen.clear()
-        yield out()
 
-    words = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in words.orderBy(F.desc("n"), "word").limit(VOCABULARY - 2).collect()]
-
-
-def train(docs: DataFrame) -> Models:
-    """The models of rows (text binary, target boolean)."""
-    spark = docs.sparkSession
-    words = _vocabulary(docs)
-    shared = spark.sparkContext.broadcast({w: i + 2 for i, w in enumerate(words)})
+def _asked(blocks: DataFrame, n_parts: int) -> DataFrame:
+    """For each block, kind and part the ascending keys, and how often the block's target and other texts have them. ``rid`` is
+    the block's first row (of those that are next to each other)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, held, n = shared.value.get, ([], []), 0
+        for unit in _units(batches, ["block", "rid", "target", "text"]):
+            events, target = Events(unit.column("text").chunk(0)), _flags(unit.column("target"))
+            for kind, keys in ((WORDS, events.words), (BIGRAMS, events.bigrams)):
+                n = events.counts(kind, target).astype("<u4")
+                at = _bounds(keys, n_parts)
+                some = np.flatnonzero(np.diff(at))
+                cut = lambda x: [x[at[p] : at[p + 1]].tobytes() for p in some]  # noqa: B023, E731
+                m = len(some)
+                cols = [[unit.column("block")[0].as_py()] * m, [unit.column("rid")[0].as_py()] * m, [kind] * m, some, cut(keys), cut(n[0]), cut(n[1])]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=_names(_ASKED))
 
-        def out() -> pa.RecordBatch:
-            some = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in held]
-            (k1, n1), (k0, n0) = (np.unique(x, return_counts=True) for x in some)
-            rows = [np.concatenate([k1, k0]), np.concatenate([n1, 0 * n0]), np.concatenate([0 * n1, n0])]
-            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in rows], names=["key", "n1", "n0"])
+    return blocks.mapInArrow(run, _ASKED)
 
-        for batch in batches:
-            for text, target in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                own = np.array([1, *[get(w, 0) for w in tokens(text.as_py())]], np.int64)
-                held[0 if target else 1].append(own[:-1] * VOCABULARY + own[1:])
-                n += len(own)
-                if n >= HELD_TOKENS:
-                    yield out()
-                    held, n = ([], []), 0
-        yield out()
-
-    pairs = docs.select("text", "target").mapInArrow(run, "key long, n1 long, n0 long").groupBy("key").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    pairs = stored(pairs, "bigrams")
-    # singles: what follows anything, so each token once
-    of = F.pmod("key", F.lit(VOCABULARY))
-    singles = np.zeros((2, len(words) + 2))
-    for r in pairs.groupBy(of.alias("w")).agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).collect():  # at most VOCABULARY rows
-        singles[:, r.w] = r.n1, r.n0
-    # the least cutoff whose bigrams fit; counts beyond the cutoff's range share one row
-    total = F.col("n1") + F.col("n0")
-    shares = dict(pairs.groupBy(F.least(total, F.lit(100_000)).alias("n")).count().collect())
-    cutoff, left = 100_001, 0
-    for n in sorted(shares, reverse=True):
-        if left + shares[n] > BIGRAMS:
-            break
-        cutoff, left = n, left + shares[n]
-    kept = pairs.where(total >= cutoff).toArrow()  # at most BIGRAMS rows, as columns
-    keys = kept.column("key").to_numpy()
-    order = np.argsort(keys)
-    return Models(words, keys[order], np.stack([kept.column(n).to_numpy()[order].astype(np.float32) for n in ("n1", "n0")]), singles)
 
+def _names(ddl: str) -> list[str]:
+    return [c.split(" ")[0] for c in ddl.split(", ")]
 
-def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, target_loss, background_loss, score) of every row, the losses as means over the words of the whole text.
 
-    Null and empty texts, and ones of white space, have no words; their losses and score are 0. Repeated rows and null ids
-    keep their rows.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+def _answered(asked: DataFrame, n_parts: int) -> DataFrame:
+    """The counts in all blocks, in the order of each block's keys; and of each part once the number of its events, and how
+    often they occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
-        for batch in batches:
-            n, means = [], []
-            for text in batch.column(1):
-                own = models.numbers(tokens(text.as_py()))
-                n.append(len(own))
-                means.append(models.losses(own).mean(axis=1) if len(own) else np.zeros(2))
-            t, b = np.array(means).reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(t), pa.array(b), pa.array(t - b)], names=["id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.dtypes[0][1]}, n_tokens long, target_loss double, background_loss double, score double")
+        for part in _groups(batches):
+            keys = [np.frombuffer(k, np.uint64) for k in part["keys"]]
+            which = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            distinct, number = _numbered(np.concatenate(keys))
+            n = [np.bincount(number, np.frombuffer(b"".join(part[c]), "<u4"), len(distinct)).astype(np.uint64) for c in ("n1", "n0")]
+            events = (distinct != START) & (n[0] + n[1] > 0) if part["kind"] == WORDS else np.zeros(len(distinct), bool)
+            said = [int(events.sum()), int(n[0][events].sum()), int(n[1][events].sum())]
+            ends = np.searchsorted(which, np.arange(len(keys) + 1))
+            m = len(keys)
+            cut = lambda x: [x[number[s:e]].tobytes() for s, e in zip(ends, ends[1:], strict=False)]  # noqa: B023, E731
+            cols = [part["block"], part["rid"], [part["kind"]] * m, [part["part"]] * m, cut(n[0]), cut(n[1]), *([v] + [0] * (m - 1) for v in said)]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=_names(_ANSWERED))
+
+    dealt = asked.repartition(2 * n_parts, "kind", "part").sortWithinPartitions("kind", "part")
+    return stored(dealt.mapInArrow(run, _ANSWERED), "answers")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of each kind and part, which are next to each other."""
+    held: dict = {}
+    for batch in batches:
+        cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+        for block, rid, kind, part, keys, n1, n0 in zip(*cols, strict=True):
+            if held and (held["kind"], held["part"]) != (kind, part):
+                yield held
+                held = {}
+            if not held:
+                held = {"kind": kind, "part": part, "block": [], "rid": [], "keys": [], "n1": [], "n0": []}
+            for name, value in (("block", block), ("rid", rid), ("keys", keys), ("n1", n1), ("n0", n0)):
+                held[name].append(value)
+    if held:
+        yield held
+
+
+@tidy
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "target") -> DataFrame:
+    """(id, n_tokens, target_loss, background_loss, score) of every row, the losses as means over the events of the whole text.
+
+    Models learn from rows whose ``target_col`` is true (the target) or false (the background); rows where it is null are
+    scored only. Words are runs without ASCII white space, A-Z lower-cased. Null and empty texts, and ones of white space,
+    have no words; their losses and score are 0. Repeated rows and null ids keep their rows, and count as often as they
+    occur. Without any word to learn from all words are alike. Other columns are not looked at; an empty table gives none.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(target_col).cast("boolean").alias("target"), F.col(text_col).cast("binary").alias("text"))
+    blocks = _blocks(rows)
+    n_parts = max(1, -(-(blocks.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART))
+    answers = _answered(_asked(blocks, n_parts), n_parts)
+    size, *total = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("events", "t1", "t0")]).first()
+    # an unknown word is one more
+    size, total = size + 1, np.array(total, float)
+
+    def run(texts: pa.Table, said: pa.Table) -> pa.Table:
+        texts, said = texts.sort_by("rid"), said.sort_by([("rid", "ascending"), ("kind", "ascending"), ("part", "ascending")])
+        rid = texts.column("rid").to_numpy()
+        firsts, begins = np.unique(said.column("rid").to_numpy(), return_index=True)
+        begins, out = [*begins.tolist(), said.num_rows], []
+        for i, s in enumerate(np.searchsorted(rid, firsts).tolist()):
+            e = int(np.searchsorted(rid, firsts[i + 1])) if i + 1 < len(firsts) else len(rid)
+            own, unit = said.slice(begins[i], begins[i + 1] - begins[i]), texts.slice(s, e - s).combine_chunks()
+            events = Events(unit.column("text").chunk(0))
+            kind = own.column("kind").to_numpy()
+            n = {c: np.array(own.column(c).to_pylist(), object) for c in ("n1", "n0")}
+            words, bigrams = (np.stack([np.frombuffer(b"".join(n[c][kind == k]), np.uint64).astype(float) for c in ("n1", "n0")]) for k in (WORDS, BIGRAMS))
+            if words.shape[1] != len(events.words) or bigrams.shape[1] != len(events.bigrams):
+                raise ValueError("answers don't fit the block")
+            target, background = events.losses(words, bigrams, total, size)
+            cols = [unit.column("id").chunk(0), pa.array(events.n_words, pa.int64()), pa.array(target), pa.array(background), pa.array(target - background)]
+            out.append(pa.Table.from_arrays(cols, names=["id", "n_tokens", "target_loss", "background_loss", "score"]))
+        return pa.concat_tables(out)
+
+    kind = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss", "score"))])
+    texts, said = blocks.select("block", "rid", "id", "text"), answers.select("block", "rid", "kind", "part", "n1", "n0")
+    scored = stored(texts.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(run, kind), "scores")
+    dropped(blocks, answers)
+    return scored
 
 
 def marked(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """(text binary, target): whether the document's id is among ``targets.doc_id``."""
+    """(doc_id, text, target): whether the document's id is among ``targets.doc_id``."""
     names = targets.where("doc_id is not null").select(F.col("doc_id").alias("wanted")).distinct()
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(broadcast_if_small(names, 16), F.col("doc_id") == F.col("wanted"), "left")
-    return rows.select("text", F.col("wanted").isNotNull().alias("target"))
+    rows = docs.select("doc_id", "text").join(broadcast_if_small(names), F.col("doc_id") == F.col("wanted"), "left")
+    return rows.select("doc_id", "text", F.col("wanted").isNotNull().alias("target"))
 
 
+@tidy
 def op10_lm_score(spark, sf_dir: str) -> DataFrame:
     """Cross-entropy difference of all documents; the target are those labelled as of good quality."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    models = train(marked(docs, labels.where("quality = 1")))
-    return score(docs, models).withColumnRenamed("id", "doc_id")
+    return score(marked(docs, labels.where("quality = 1"))).withColumnRenamed("id", "doc_id")

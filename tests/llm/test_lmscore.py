@@ -1,66 +1,91 @@
 import math
+import random
 from collections import Counter
 
 import pytest
 
 from assay.llm import lmscore
-from assay.llm.lmscore import SMOOTHING, UNIGRAM_ADD, marked, op10_lm_score, score, train
-
-
-def slow(docs, good):
-    """The same models with dictionaries; no word or bigram is cut off."""
-    toks = {d: (t or "").encode().lower().split() for d, t in docs}
-    uni, bi, after = ([Counter(), Counter()] for _ in range(3))
-    for d, w in toks.items():
-        m = 0 if d in good else 1
-        for a, b in zip(["<s>", *w], w, strict=False):
-            uni[m][b] += 1
-            bi[m][a, b] += 1
-            after[m][a] += 1
-    size = len(set(uni[0]) | set(uni[1])) + 2
-    out = {}
-    for d, w in toks.items():
+from assay.llm.lmscore import SMOOTHING, UNIGRAM_ADD, marked, op10_lm_score, score
+
+
+def slow(docs):
+    """The same models with dictionaries: losses of each (text, target) in order; a target of None is not learned from."""
+    toks = [(t or "").encode().lower().split() for t, _ in docs]
+    uni, bi = ([Counter(), Counter()] for _ in range(2))
+    for w, (_, target) in zip(toks, docs, strict=True):
+        if w and target is not None:
+            m = 0 if target else 1
+            uni[m].update(["<s>", *w, "</s>"])
+            bi[m].update(zip(["<s>", *w], [*w, "</s>"], strict=True))
+    size = len(set(uni[0]) | set(uni[1]) - {"<s>"}) - ("<s>" in uni[0]) + 1
+    total = [sum(u.values()) - u["<s>"] for u in uni]
+    out = []
+    for w in toks:
         loss = [0.0, 0.0]
         for m in (0, 1):
-            for a, b in zip(["<s>", *w], w, strict=False):
-                p = (uni[m][b] + UNIGRAM_ADD) / (sum(uni[m].values()) + UNIGRAM_ADD * size)
-                loss[m] -= math.log((bi[m][a, b] + SMOOTHING * p) / (after[m][a] + SMOOTHING))
-        out[d] = [x / max(1, len(w)) for x in loss]
+            for a, b in zip(["<s>", *w], [*w, "</s>"], strict=True) if w else ():
+                share = (uni[m][b] + UNIGRAM_ADD) / (total[m] + UNIGRAM_ADD * size)
+                loss[m] += math.log(uni[m][a] + SMOOTHING) - math.log(bi[m][a, b] + SMOOTHING * share)
+        out.append([x / (len(w) + 1) for x in loss])
     return out
 
 
+def held_against(got, rows):
+    """``rows``: (id, text, target) with distinct ids."""
+    assert len(got) == len(rows)
+    got = {r.id: r for r in got}
+    for (d, text, _), (t, b) in zip(rows, slow([r[1:] for r in rows]), strict=True):
+        assert got[d].n_tokens == len((text or "").encode().split())
+        assert got[d].target_loss == pytest.approx(t) and got[d].background_loss == pytest.approx(b) and got[d].score == pytest.approx(t - b, abs=1e-9)
+
+
+ROWS = [(1, "the cat sat on the mat", True), (2, "The cat ran", True), (3, "stock prices fell again on fears", False), (4, "stock fears", False), (5, None, False), (6, " \n", True), (7, "x " * 5000, False), (8, "the cat unknown words", None), (None, "é the", True)]
+
+
 def test_matches_brute_force(spark):
-    docs = [(1, "the cat sat on the mat"), (2, "The cat ran"), (3, "stock prices fell again on fears"), (4, "stock fears"), (5, None), (6, " \n"), (7, "x " * 5000)]
-    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as target", "2 as n")
-    good = spark.createDataFrame([(1,), (1,), (2,), (None,), (99,)], "doc_id long")
-    got = {r.id: r for r in score(df, train(marked(df, good))).collect()}
-    for d, (t, b) in slow(docs, {1, 2}).items():
-        assert got[d].target_loss == pytest.approx(t) and got[d].background_loss == pytest.approx(b) and got[d].score == pytest.approx(t - b)
+    df = spark.createDataFrame(ROWS, "doc_id long, text string, target boolean").selectExpr("*", "1 as block", "2 as rid", "3 as n1")
+    got = score(df).collect()
+    held_against(got, ROWS)
+    got = {r.id: r for r in got}
     assert got[1].score < got[3].score and got[5].score == got[6].score == 0 and got[7].n_tokens == 5000
 
 
-def test_empty_tables_and_repeated_rows(spark):
+def test_blocks_and_parts_give_the_same(spark, monkeypatch):
+    """Texts over many blocks and parts, read in splits that cut blocks in two."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(60)], k=rng.randrange(40))), rng.choice([True, False, False, None])) for i in range(900)]
+    monkeypatch.setattr(lmscore, "BLOCK", 700)
+    monkeypatch.setattr(lmscore, "PART", 3000)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+        got = score(spark.createDataFrame(rows, "doc_id long, text string, target boolean").repartition(3)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    held_against(got, rows)
+
+
+def test_empty_tables_repeated_rows_and_nothing_learned(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
-    models = train(marked(empty, empty.select("doc_id")))
-    assert score(empty, models).collect() == []
-    twice = spark.createDataFrame([(None, "a b")] * 2, "doc_id long, text string")
-    assert [(r.id, r.n_tokens) for r in score(twice, models).collect()] == [(None, 2)] * 2
+    assert score(marked(empty, empty.select("doc_id"))).collect() == []
+    twice = spark.createDataFrame([(None, "a b", True)] * 2, "doc_id long, text string, target boolean")
+    want = slow([("a b", True)] * 2)[0]
+    assert [(r.id, r.n_tokens, pytest.approx(r.target_loss)) for r in score(twice).collect()] == [(None, 2, want[0])] * 2
+    unknown = spark.createDataFrame([("x", "a b", None)], "doc_id string, text string, target boolean")
+    assert [(r.id, r.score) for r in score(unknown).collect()] == [("x", 0.0)]
 
 
-def test_cutoff_bounds_the_model(spark, monkeypatch):
-    monkeypatch.setattr(lmscore, "BIGRAMS", 3)
-    df = spark.createDataFrame([(1, "a b a b a b c d e f")], "doc_id long, text string")
-    models = train(marked(df, df.select("doc_id")))
-    assert 0 < len(models.keys) <= 3
+def test_documents_marked_once(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "doc_id long, text string")
+    got = marked(df, spark.createDataFrame([(1,), (1,), (None,), (99,)], "doc_id long"))
+    assert sorted((r.text, r.target) for r in got.collect()) == [("a", True), ("b", False), ("c", False)]
 
 
-def test_query_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(lmscore, "VOCABULARY", 1 << 20)
-    sf = "/root/testdata/sf0.001"
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+def test_query_matches_brute_force(spark):
+    """All documents of the query, at its own parameters."""
+    sf = "/root/testdata/sf0.01"
     good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").collect()}
-    got = {r.doc_id: r for r in op10_lm_score(spark, sf).collect()}
-    want = slow(docs, good)
-    assert len(got) == len(docs)
-    for d in list(want)[::5]:
-        assert got[d].score == pytest.approx(want[d][0] - want[d][1], abs=1e-6)
+    rows = [(r.doc_id, r.text, r.doc_id in good) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    held_against([r for r in op10_lm_score(spark, sf).withColumnRenamed("doc_id", "id").collect()], rows)
