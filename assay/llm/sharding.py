@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stored
+from .common import broadcast_if_small, stored, tidy, unused
 
 RANGES_A_SHARD, SAMPLES_A_RANGE, ROWS_A_RANGE = 64, 32, 1_000_000
 #: A range beyond so many times its fair size is overfull.
@@ -32,9 +33,9 @@ def _splitters(records: DataFrame, ranges: int, total: int) -> list[int]:
     the sample counts as often as it has steps.
     """
     step = max(1.0, total / (ranges * SAMPLES_A_RANGE))
-    chance = F.pmod(F.xxhash64("key", "tie"), F.lit(1 << 30)).cast("double") / float(1 << 30)
-    sample = records.select("key", F.floor(F.col("size") / step + chance).alias("times")).where("times >= 1").collect()
-    keys = np.repeat(np.array([r.key for r in sample], np.int64), [r.times for r in sample])
+    chance = F.pmod(F.xxhash64("key", "row"), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    sample = records.select("key", F.floor(F.col("size") / step + chance).alias("times")).where("times >= 1").toArrow()
+    keys = np.repeat(sample.column("key").to_numpy(), sample.column("times").to_numpy())
     keys.sort()
     return [] if not len(keys) else sorted({int(keys[len(keys) * i // ranges]) for i in range(1, ranges)})
 
@@ -51,72 +52,93 @@ def _ranged(records: DataFrame, cuts: list[int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(2 * left + same, pa.int64())], names=[*batch.schema.names, "range"])
 
     first = records.select("key", *[c for c in records.columns if c != "key"])
-    kind = ", ".join(f"`{n}` {t}" for n, t in first.dtypes) + ", range long"
-    return first.mapInArrow(run, kind)
+    return first.mapInArrow(run, T.StructType([*first.schema.fields, T.StructField("range", T.LongType())]))
 
 
-def plan(units: list[tuple[int, int, int]], shards: int, total: int) -> tuple[dict[int, int], dict[int, list[int]]]:
-    """Of ranges (range, bytes, bytes of its largest text group): the parts that overfull ones are cut into, and the shard of each part.
+def plan(units: list[tuple[int, int, int, int]], shards: int, total: int) -> tuple[dict[int, int], dict[int, list[int]]]:
+    """Of ranges (range, bytes, rows, bytes of its largest text group): the parts that overfull ones are cut into, and the shard
+    of each part.
 
     A range whose largest group is no more than a fair shard stays on one shard, though cut; else its parts are dealt singly.
     """
     fair = max(1.0, total / (shards * RANGES_A_SHARD))
-    parts = {r: max(1, round(size / fair)) if size > OVERFULL * fair else 1 for r, size, _ in units}
+    parts = {r: max(1, round(size / fair) if size > OVERFULL * fair else 1, -(-rows // ROWS_A_RANGE)) for r, size, rows, _ in units}
     loads = [(0.0, s) for s in range(shards)]
     deals = []
-    for r, size, largest in units:
+    for r, size, _, largest in units:
         if largest <= total / shards:
             deals.append((size, r, None))
         else:
             deals += [(size / parts[r], r, p) for p in range(parts[r])]
-    homes: dict[int, list[int]] = {r: [0] * parts[r] for r, _, _ in units}
+    homes: dict[int, list[int]] = {r: [0] * n for r, n in parts.items()}
     for size, r, p in sorted(deals, key=lambda d: (-d[0], d[1], d[2] or 0)):
         load, s = heapq.heappop(loads)
-        homes[r] = [s] * parts[r] if p is None else [s if i == p else h for i, h in enumerate(homes[r])]
+        if p is None:
+            homes[r] = [s] * parts[r]
+        else:
+            homes[r][p] = s
         heapq.heappush(loads, (load + size, s))
     return parts, homes
 
 
-def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, size, text_crc32, shard, slot) of every row.
+def _records(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Numbered rows of the columns that decide where a row goes, stored."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id()
+    size = (F.octet_length(text) + 1).cast("long")
+    return stored(docs.select(F.xxhash64(text).alias("key"), row.alias("row"), F.col(id_col).alias("id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")), "records")
 
-    Size is the UTF-8 bytes of the text and 1; a null text counts as empty but is no copy of the empty text's size: both
-    are 1. Slots count from 0 in each shard, without gaps, along the order of texts' hashes, then of ids. Rows that agree
-    in both, like repeated rows and null ids, follow each other in any order. No rows give none.
-    """
+
+def _assigned(records: DataFrame, shards: int) -> DataFrame:
     if shards < 1:
         raise ValueError("shards must be positive")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    records = docs.select(F.xxhash64(text).alias("key"), F.xxhash64(id_col).alias("tie"), F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    records = stored(records, "records")
+    spark = records.sparkSession
     rows, total = records.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = max(shards * RANGES_A_SHARD, -(-rows // ROWS_A_RANGE))
     placed = stored(_ranged(records, _splitters(records, ranges, total)), "ranged")
     # a heavy key is a cut itself, so it has a range of its own and is that range's largest group
-    sums = placed.groupBy("range").agg(F.sum("size").alias("bytes")).collect()
-    parts, homes = plan([(r["range"], r["bytes"], r["bytes"] if r["range"] % 2 else 0) for r in sums], shards, total)
-    cut = docs.sparkSession.createDataFrame([(r, n) for r, n in parts.items()] or [(-1, 1)], "range long, parts int")
-    placed = placed.join(F.broadcast(cut), "range")  # a row a range, of which the driver holds all
-    # parts follow the order of the text's hash inside a range, and that of the id's inside one text
-    within = F.when(F.col("range") % 2 == 1, F.xxhash64("tie")).otherwise(F.xxhash64("key"))
+    sums = placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).toArrow().to_pylist()
+    parts, homes = plan([(r["range"], r["bytes"], r["rows"], r["bytes"] if r["range"] % 2 else 0) for r in sums], shards, total)
+    cut = spark.createDataFrame([(r, n) for r, n in parts.items()] or [(-1, 1)], "range long, parts int")
+    placed = placed.join(broadcast_if_small(cut), "range")
+    # parts follow the texts' hashes inside a range; rows of one text are dealt by their numbers, which repeated rows don't share
+    within = F.when(F.col("range") % 2 == 1, F.xxhash64("row")).otherwise(F.xxhash64("key"))
     placed = placed.withColumn("part", F.when(F.col("parts") > 1, F.pmod(within, F.col("parts").cast("long"))).otherwise(0).cast("int"))
-    counts = placed.groupBy("range", "part").count().collect()
+    counts = placed.groupBy("range", "part").agg(F.count(F.lit(1)).alias("rows")).toArrow().to_pylist()
     first: dict[int, int] = {}
     starts = []
-    for r in sorted(counts):
+    for r in sorted(counts, key=lambda r: (r["range"], r["part"])):
         s = homes[r["range"]][r["part"]]
         starts.append((r["range"], r["part"], s, first.get(s, 0)))
-        first[s] = first.get(s, 0) + r["count"]
-    start = docs.sparkSession.createDataFrame(starts or [(-1, 0, 0, 0)], "range long, part int, shard int, first long")
-    order = Window.partitionBy("range", "part").orderBy("key", "id")
-    slotted = placed.withColumn("nth", F.row_number().over(order)).join(F.broadcast(start), ["range", "part"])
-    return slotted.select("id", "size", "text_crc32", "shard", (F.col("first") + F.col("nth") - 1).alias("slot"))
+        first[s] = first.get(s, 0) + r["rows"]
+    start = spark.createDataFrame(starts or [(-1, 0, 0, 0)], "range long, part int, shard int, first long")
+    order = Window.partitionBy("range", "part").orderBy("key", "id", "row")
+    slotted = placed.withColumn("nth", F.row_number().over(order)).join(broadcast_if_small(start), ["range", "part"])
+    return slotted.select("row", "id", "size", "text_crc32", "shard", (F.col("first") + F.col("nth") - 1).alias("slot"))
+
+
+@tidy
+def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, size, text_crc32, shard, slot) of every row.
+
+    Size is the UTF-8 bytes of the text and 1; a null text counts as empty but is no copy of the empty text's size: both
+    are 1. Slots count from 0 in each shard, without gaps, along the parts of ranges and in these along the order of texts'
+    hashes, then of ids; rows that agree in both, like repeated rows and null ids, follow each other in any order. Ranges
+    are ranges of the texts' hashes, so they have no meaning of their own. No rows give none.
+    """
+    return _assigned(_records(docs.select(id_col, text_col), id_col, text_col), shards).drop("row")
 
 
+@tidy
 def write_shards(docs: DataFrame, shards: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """The rows of ``docs`` under ``path``, a folder a shard. Ids must be unique."""
-    placed = assign(docs, shards, id_col, text_col).select(F.col("id").alias(id_col), "shard", "slot")
-    docs.drop("shard", "slot").join(placed, id_col).repartition("shard", F.pmod("slot", F.lit(64))).sortWithinPartitions("slot").write.partitionBy("shard").parquet(path)
+    """The rows of ``docs`` under ``path``, a folder a shard, with their slots. Ids may be null or repeated, and rows too: they
+    are numbered first. A column called shard or slot is replaced."""
+    row, number = unused(docs, "row", "number")
+    numbered = stored(docs.drop("shard", "slot").withColumn(row, F.monotonically_increasing_id()), "numbered")
+    placed = _assigned(_records(numbered.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text"), shards)
+    placed = placed.select(F.col("row").alias(number), "shard", "slot")
+    whole = numbered.join(placed, F.col(row) == F.col(number)).drop(row, number)
+    whole.repartition("shard", F.pmod("slot", F.lit(64))).sortWithinPartitions("slot").write.partitionBy("shard").parquet(path)
 
 
 def op1_sharding(spark, sf_dir: str) -> DataFrame:
