@@ -1,14 +1,15 @@
 """URL lists: a blocked Bloom filter passes possible hits, an exact hash join removes those that only look like hits.
 
-A rule is a host and a start of a path. It fits its host and all subdomains, where the path starts with its own. A url is
-asked about under each of its domains with each length of path that some rule has; these keys are tested against the
-filter, and only those it passes are shuffled and joined with the list. The filter is made of blocks of 512 bits: a key
+A rule is a host and a start of a path. It fits its host and all subdomains, where the path starts with its own. The filter
+holds the hosts of rules, and their hosts with paths. A url's domains are tested, as far as some rule's host has as many
+labels; under those that pass each length of path that some rule has is tested, and only what passes again is shuffled and
+joined with the list. So a long host costs no more than its length for each label of a rule. The filter is made of blocks of 512 bits: a key
 sets and tests bits of one block only, so a test touches one cache line. Its size follows the counted rules.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, LOWER, broadcast_if_small, stored
+from .common import LOWER, UPPER, broadcast_if_small, stored, tidy
 
 BITS_A_KEY, PROBES, WORDS = 16, 8, 8
 #: The largest filter that is made, in blocks of 64 bytes; a list for which it is too small still gives right results, as
@@ -67,8 +68,10 @@ class BlockedBloom:
         kind = "block long, " + ", ".join(f"w{i} long" for i in range(WORDS))
         set_bits = keys.select("key").mapInArrow(run, kind).groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
         table = np.zeros((blocks, WORDS), np.uint64)
-        for r in set_bits.collect():  # at most MOST_BLOCKS rows
-            table[r[0]] = np.array(r[1:], np.int64).view(np.uint64)
+        found = set_bits.toArrow()  # at most MOST_BLOCKS rows, as columns
+        at = found.column("block").to_numpy()
+        for i in range(WORDS):
+            table[at, i] = found.column(f"w{i}").to_numpy().view(np.uint64)
         return cls(table)
 
     def holds(self, keys: list[bytes]) -> np.ndarray:
@@ -79,13 +82,24 @@ class BlockedBloom:
         return ((self.table[at] & mask) == mask).all(axis=1)
 
 
-def asked_keys(host: str, path: str, lengths: list[int]) -> list[tuple[str, str]]:
-    """(domain, start of the path) for the host and all domains above it, with each length of path that a rule has."""
-    labels = host.split(".")
-    domains = [".".join(labels[i:]) for i in range(len(labels))]
-    return [(d, path[:n]) for d in domains for n in lengths if n <= len(path)]
+def domains(host: str, labels: int) -> list[str]:
+    """The host and the domains above it, those of at most so many labels, shortest first."""
+    parts = host.rsplit(".", labels)
+    most = min(labels, len(parts))
+    return [".".join(parts[len(parts) - k :]) for k in range(1, most + 1)]
 
 
+def possible_keys(hosts: list[str], paths: list[str], holds: Callable[[list[bytes]], np.ndarray], lengths: list[int], labels: int) -> Iterator[tuple[int, str]]:
+    """(url, key) of the keys, a host and the start of a path, that the filter may hold."""
+    asked = [(i, d) for i, host in enumerate(hosts) for d in domains(host, labels) if d]
+    listed = [asked[k] for k in np.flatnonzero(holds([d.encode() for _, d in asked]))]
+    for i, d in listed:
+        keys = [f"{d} {paths[i][:n]}" for n in lengths if n <= len(paths[i])]
+        for k in np.flatnonzero(holds([k.encode() for k in keys])):
+            yield i, keys[k]
+
+
+@tidy
 def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
     """All columns of ``pages`` and ``url_host``, ``url_path``, ``url_rule``, ``url_verdict``, by ``rules`` (host, path, verdict).
 
@@ -100,20 +114,21 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     listed = listed.groupBy(F.concat_ws(" ", "host", "path").alias("key"), "host", "path").agg(F.max("verdict").alias("verdict"))
     listed = stored(listed, "rules")
     lengths = sorted(r[0] for r in listed.select(F.length("path")).distinct().collect())  # one number a length
-    bloom = given.sparkSession.sparkContext.broadcast(BlockedBloom.of(listed))
+    labels = listed.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 0
+    # a key of a host alone has no space, one with a path has
+    bloom = given.sparkSession.sparkContext.broadcast(BlockedBloom.of(listed.select("key").unionByName(listed.select(F.col("host").alias("key")).distinct())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_ = bloom.value
+        holds = bloom.value.holds
         for batch in batches:
             hosts, paths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            asked = [(i, f"{d} {p}") for i in range(len(hosts)) for d, p in asked_keys(hosts[i], paths[i], lengths) if d]
-            keep = np.flatnonzero(filter_.holds([k.encode() for _, k in asked]))
-            at = pa.array([asked[j][0] for j in keep], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([asked[j][1] for j in keep], pa.string())], names=["url_host", "url_path", "key"])
+            found = list(possible_keys(hosts, paths, holds, lengths, labels))
+            at = pa.array([i for i, _ in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([k for _, k in found], pa.string())], names=["url_host", "url_path", "key"])
 
     urls = given.select("url_host", "url_path").where("url_host <> ''").distinct()
     possible = urls.mapInArrow(run, "url_host string, url_path string, key string")
-    right = broadcast_if_small(listed, 200)
+    right = broadcast_if_small(listed)
     fit = possible.join(right, "key").groupBy("url_host", "url_path")
     best = fit.agg(F.max(F.struct((F.length("host") + F.length("path")).alias("n"), (F.col("verdict") == "block").alias("no"), F.concat("host", "path").alias("rule"), "verdict")).alias("best"))
     best = stored(best.select("url_host", "url_path", F.col("best.rule").alias("url_rule"), F.col("best.verdict").alias("url_verdict")), "verdicts")
@@ -124,6 +139,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
+@tidy
 def op9_urls(spark, sf_dir: str) -> DataFrame:
     """The verdict on every page's url."""
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")

@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from assay.llm.urlfilter import OP9_SQL, BlockedBloom, judge, op9_urls
+from assay.llm.urlfilter import OP9_SQL, BlockedBloom, domains, judge, op9_urls
 
 
 def test_filter_holds_all_and_few_others(spark):
@@ -40,3 +40,17 @@ def test_query_matches_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '/root/testdata/{sf}/pages.parquet'")
     assert sorted(map(tuple, op9_urls(spark, f"/root/testdata/{sf}").collect()), key=repr) == sorted(con.execute(OP9_SQL).fetchall(), key=repr)
+
+
+def test_domains():
+    assert domains("a.b.c.com", 2) == ["com", "c.com"] and domains("a.com", 9) == ["com", "a.com"] and domains("", 3) == [""] and domains("x", 0) == []
+
+
+def test_long_hosts(spark):
+    """A host of many labels costs memory for the labels that rules have only, and still meets its rule."""
+    host = "s." * 200_000 + "a.com"
+    pages = spark.createDataFrame([(1, f"http://{host}/ok/1"), (2, f"http://{host}x/ok/1"), (3, "http://" + "y" * 300_000 + ".com/")], "page_id long, url string")
+    rules = spark.createDataFrame([("a.com", "/ok", "block"), ("b.c.d.com", "/", "block")], "host string, path string, verdict string")
+    got = {r.page_id: (r.url_rule, r.url_verdict) for r in judge(pages, rules).collect()}
+    assert got == {1: ("a.com/ok", "block"), 2: (None, "allow"), 3: (None, "allow")}
+    assert sum(map(len, domains(host, 4))) < 100
