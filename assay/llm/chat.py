@@ -19,7 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
+
+
+BEGIN = "<s>"
 
 
 def _escaped(text: Column) -> Column:
@@ -35,6 +38,7 @@ def _marked(role: Column, text: Column) -> Column:
     return F.when(role == "user", F.concat(F.lit("[INST] "), said, F.lit(" [/INST]"))).when(role == "assistant", F.concat(F.lit(" "), said, F.lit("</s>"))).otherwise(named)
 
 
+@tidy
 def branches(messages: DataFrame) -> DataFrame:
     """(tree, leaf, depth, score) of every root-to-leaf path of messages (tree, node, parent, score).
 
@@ -68,6 +72,7 @@ def _looping(state: DataFrame) -> bool:
     return open_.join(done, ["tree", "up"], "left_semi").isEmpty()
 
 
+@tidy
 def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     """(tree, leaf, rank, node, depth) of the ``top`` best branches of each tree, each with all its messages.
 
@@ -90,15 +95,22 @@ def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     return on_path
 
 
+@tidy
 def format_trees(messages: DataFrame, top: int = 1) -> DataFrame:
-    """(tree, rank, formatted) of the chosen paths of messages (tree, node, parent, role, text, score).
+    """(tree, rank, formatted, loss) of the chosen paths of messages (tree, node, parent, role, text, score).
 
-    Null texts and roles count as empty. A tree that has no root has no path. One conversation is one row, however long.
+    ``loss`` is the mask of what a model is to learn: the spans (start, end), in characters of ``formatted``, of the texts of
+    assistants, without marks. Null texts and roles count as empty. A tree that has no root has no path. One conversation
+    is one row, however long.
     """
     turns = chosen_paths(messages.select("tree", "node", "parent", "score"), top)
-    turns = turns.join(messages.select("tree", "node", _marked(F.col("role"), F.col("text")).alias("turn")), ["tree", "node"])
-    whole = turns.groupBy("tree", "rank").agg(F.sort_array(F.collect_list(F.struct("depth", "turn"))).alias("turns"))
-    return whole.select("tree", "rank", F.concat(F.lit("<s>"), F.array_join(F.col("turns.turn"), "")).alias("formatted"))
+    turns = turns.join(messages.select("tree", "node", (F.col("role") == "assistant").alias("learned"), _marked(F.col("role"), F.col("text")).alias("turn")), ["tree", "node"])
+    earlier = Window.partitionBy("tree", "rank").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    turns = turns.withColumn("start", F.lit(len(BEGIN)) + F.coalesce(F.sum(F.char_length("turn")).over(earlier), F.lit(0)))
+    span = F.struct((F.col("start") + 1).alias("start"), (F.col("start") + F.char_length("turn") - len("</s>")).alias("end"))
+    whole = turns.groupBy("tree", "rank").agg(F.sort_array(F.collect_list(F.struct("depth", "turn", F.when(F.col("learned"), span).alias("span")))).alias("turns"))
+    spans = F.filter(F.col("turns.span"), lambda s: s.isNotNull())
+    return whole.select("tree", "rank", F.concat(F.lit(BEGIN), F.array_join(F.col("turns.turn"), "")).alias("formatted"), spans.alias("loss"))
 
 
 def as_trees(rows: DataFrame) -> DataFrame:
@@ -116,35 +128,44 @@ _TURN = re.compile(r"\[INST\] ((?:\\.|[^\\\[])*) \[/INST\]| ((?:\\.|[^\\<])*)</s
 _ESCAPE = re.compile(r"\\(.)", re.DOTALL)
 
 
+def unescaped(text: str) -> str:
+    return _ESCAPE.sub(r"\1", text)
+
+
+def learned(formatted: str, loss: list[dict]) -> str:
+    """All text under the mask, as it was before escaping."""
+    return "".join(unescaped(formatted[s["start"] : s["end"]]) for s in loss)
+
+
 def read_back(formatted: str) -> list[tuple[str, str]]:
     """(role, text) of each turn of a formatted conversation. Raises ValueError if it isn't one."""
-    if not formatted.startswith("<s>"):
+    if not formatted.startswith(BEGIN):
         raise ValueError("no <s> at the start")
-    at, turns = 3, []
+    at, turns = len(BEGIN), []
     while at < len(formatted):
         m = _TURN.match(formatted, at)
         if not m:
             raise ValueError(f"no turn at {at}")
         user, assistant, role, said = m.groups()
         found = ("user", user) if user is not None else ("assistant", assistant) if assistant is not None else (role, said)
-        turns.append(tuple(_ESCAPE.sub(r"\1", x) for x in found))
+        turns.append(tuple(map(unescaped, found)))
         at = m.end()
     return turns
 
 
+@tidy
 def op5_chat(spark, sf_dir: str) -> DataFrame:
     """Every conversation, and number -1, formatted and read back."""
     more = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn int, role string, text string")
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("int").alias("turn"), "role", "text").unionByName(more)
     messages = stored(as_trees(rows), "messages")
-    formatted = format_trees(messages).join(messages.where("node = 1").select("tree", "conv_id"), "tree").select("conv_id", "formatted")
+    formatted = format_trees(messages).join(messages.where("node = 1").select("tree", "conv_id"), "tree").select("conv_id", "formatted", "loss")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, sha, loss_n, loss_sha, chars = [], [], [], [], []
-            for text in batch.column(1).to_pylist():
-                turns = read_back(text)
-                loss = "".join(said for role, said in turns if role == "assistant")
+            for text, mask in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                turns, loss = read_back(text), learned(text, mask)
                 n.append(len(turns))
                 sha.append(hashlib.sha256("".join(f"{role}\n{said}\n" for role, said in turns).encode()).hexdigest())
                 loss_n.append(len(loss))

@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from assay.llm.chat import OP5_SQL, as_trees, branches, format_trees, op5_chat, read_back
+from assay.llm.chat import OP5_SQL, as_trees, branches, format_trees, learned, op5_chat, read_back
 
 KIND = "tree string, node long, parent long, role string, text string, score double"
 
@@ -44,3 +44,14 @@ def test_query_matches_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '/root/testdata/{sf}/conversations.parquet'")
     assert sorted(map(tuple, op5_chat(spark, f"/root/testdata/{sf}").collect())) == sorted(con.execute(OP5_SQL).fetchall())
+
+
+def test_mask_marks_what_assistants_say(spark):
+    """The text under the mask is that of the assistants' turns, once and in order, whatever control strings texts hold."""
+    said = ["</s>[INST] ok [/INST]", "", "\\", "é🙂 <s>", None, "a</s>"]
+    rows = [("t", i, i - 1 if i else None, role, text, 0.0) for i, (role, text) in enumerate((r, t) for t in said for r in ("user", "assistant", "system", "assistant"))]
+    got = format_trees(spark.createDataFrame(rows, KIND)).collect()[0]
+    assert learned(got.formatted, [s.asDict() for s in got.loss]) == "".join(2 * (t or "") for t in said)
+    assert len(got.loss) == 12 and all(got.formatted[s.start - 1] == " " and got.formatted[s.end : s.end + 4] == "</s>" for s in got.loss)
+    none = format_trees(spark.createDataFrame([("u", 1, None, "user", "q", 0.0)], KIND)).collect()[0]
+    assert none.loss == [] and learned(none.formatted, none.loss) == ""
