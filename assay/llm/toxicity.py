@@ -3,6 +3,9 @@
 A document is a bag of sentences. A logistic model gives each sentence a probability; the document's is their noisy-or,
 1 - prod(1 - p). Only documents have labels: the likelihood of these trains the sentence model, which then also tells
 which sentences make a document toxic. Features are words and their prefixes, so that inflected forms share weights.
+
+Every sentence has some probability, so that a plain noisy-or makes any text toxic that is long enough. In a score, only
+what a sentence has above FLOOR is added up; of sentences below it the worst one counts, once.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ PREFIXES = (4, 5, 6)
 #: A feature is learned if it is in so many documents of label 1, that many times and standard deviations above chance.
 LEAST_DOCS, LEAST_LIFT, LEAST_SIGMA = 3, 4.0, 2.5
 THRESHOLD = 0.3
+#: Sentences of at most this probability are neutral.
+FLOOR = 0.05
 
 _SENTENCE, _WORD = re.compile(r"[^.!?\n]+"), re.compile(r"\w+")
 
@@ -66,6 +71,15 @@ def noisy_or(p: np.ndarray) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
 
 
+def document_score(p: np.ndarray, floor: float = FLOOR) -> float:
+    """The noisy-or of what sentences have above the floor and of the worst of what they have below it; 0 for none. More
+    neutral sentences don't change it."""
+    if not len(p):
+        return 0.0
+    above = np.maximum(p - floor, 0) / (1 - floor)
+    return noisy_or(np.append(above[above > 0], min(float(p.max()), floor)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, text_col: str, label_col: str, id_col: str) -> Model:
     """Train on a sample of labelled rows, bounded in expectation by SAMPLE_DOCS and SAMPLE_BYTES and chosen by a hash of the id.
 
@@ -106,6 +120,22 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str, label_col: str, id_co
     return learn(sorted(got, key=lambda r: (r["h"], r["label"], r["ids"])))
 
 
+def likelihood(w: np.ndarray, bias: float, ids: np.ndarray, sentence: np.ndarray, first: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, float]:
+    """The mean negative log likelihood of documents' labels, and its slopes by weights and bias.
+
+    ``ids`` are features and ``sentence`` the sentences that have them; ``first`` is each document's first sentence and the
+    end, and no document is without one. A document is clean if all its sentences are.
+    """
+    doc_of = np.repeat(np.arange(len(y)), np.diff(first))
+    z = np.bincount(sentence, weights=w[ids], minlength=len(doc_of)) + bias
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    clear = np.exp(np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-9)), first[:-1]))
+    pull = np.where(y, -clear / np.maximum(1 - clear, 1e-9), 1.0)  # d loss / d z is p times this
+    g = p * pull[doc_of]
+    loss = -np.mean(np.where(y, np.log(np.maximum(1 - clear, 1e-9)), np.log(np.maximum(clear, 1e-300))))
+    return float(loss), np.bincount(ids, weights=g[sentence], minlength=len(w)) / len(y), g.sum() / len(y)
+
+
 def learn(bags: list, rounds: int = 200, rate: float = 0.15, lasso: float = 0.01) -> Model:
     """The model of bags (label, ids, ends): a document's sentences' features, as bytes of 32-bit hashes and of the ends."""
     docs = [(np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["ends"], np.uint32), r["label"]) for r in bags if r["ends"]]
@@ -129,18 +159,11 @@ def learn(bags: list, rounds: int = 200, rate: float = 0.15, lasso: float = 0.01
         before += len(ends)
     ids, sentence = np.concatenate(places), np.concatenate(sentences)
     first = np.concatenate([[0], np.cumsum([len(e) for _, e, _ in docs])])
-    doc_of = np.repeat(np.arange(len(docs)), np.diff(first))
-    total, width = len(doc_of), len(values)
+    width = len(values)
     w, bias = np.zeros(width), -5.0
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
     for step in range(1, rounds + 1):
-        z = np.bincount(sentence, weights=w[ids], minlength=total) + bias
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        clear = np.exp(np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-9)), first[:-1]))  # P(no sentence is toxic)
-        pull = np.where(y, -clear / np.maximum(1 - clear, 1e-9), 1.0)  # d loss / d z is p times this
-        g = p * pull[doc_of]
-        grad = np.bincount(ids, weights=g[sentence], minlength=width) / len(docs)
-        grad_b = g.sum() / len(docs)
+        _, grad, grad_b = likelihood(w, bias, ids, sentence, first, y)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         mb, vb = 0.9 * mb + 0.1 * grad_b, 0.99 * vb + 0.01 * grad_b * grad_b
         slow, fast = 1 - 0.9**step, 1 - 0.99**step
@@ -172,7 +195,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = F
             scores, found = [], []
             for text in batch.column(at):
                 p, where = model.sentences(text.as_py() or "")
-                scores.append(noisy_or(p))
+                scores.append(document_score(p))
                 if spans:
                     found.append([{"start": s.start(), "end": s.end(), "score": float(x)} for s, x in zip(where, p, strict=True) if x >= least])
             more = [pa.array(scores, pa.float64())] + ([pa.array(found, kind)] if spans else [])

@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from assay.llm.toxicity import Model, fit, noisy_or, op2_toxicity, score, train
+from assay.llm.toxicity import Model, document_score, fit, likelihood, noisy_or, op2_toxicity, score, train
 
 ROWS = [(i, f"A plain line here. {'You awful%d thing. ' % (i % 3) if i % 4 == 0 else 'You kind thing. '}Another line follows", int(i % 4 == 0)) for i in range(200)]
 
@@ -20,9 +20,10 @@ def test_noisy_or():
 
 
 def test_learns_and_locates(spark, model):
-    texts = [(1, "Fine words here. And awful1 words there! More text"), (2, "Fine words here"), (3, None), (4, ""), (5, "..!"), (6, "fine here. " * 30000 + "awfully bad")]
+    texts = [(1, "Fine words here. And awful1 words there! More text"), (2, "Fine words here"), (3, None), (4, ""), (5, "..!"), (6, "fine here. " * 30000 + "awful1 bad"), (7, "fine here. " * 30000), (8, "fine here. " * 30000 + "awfully bad")]
     got = {r.doc_id: r for r in score(spark.createDataFrame(texts, "doc_id long, text string"), model, spans=True).collect()}
-    assert got[1].tox_score >= 0.5 and got[6].tox_score >= 0.5 and got[2].tox_score < 0.3
+    assert got[1].tox_score >= 0.5 and got[6].tox_score >= 0.5 and got[2].tox_score < 0.3 and got[7].tox_score < 0.3
+    assert got[8].tox_score >= 0.3  # an inflected form shares prefixes
     assert [texts[0][1][s.start : s.end] for s in got[1].tox_spans] == [" And awful1 words there"]
     assert [got[k].tox_score for k in (3, 4, 5)] == [0, 0, 0] and not got[2].tox_spans
 
@@ -45,3 +46,40 @@ def test_held_out_accuracy(spark):
     auc = np.mean([[(a > b) + (a == b) / 2 for b in no] for a in yes])
     print("F1", f1, "AUC", auc, len(yes), len(no))
     assert f1 > 0.9 and auc > 0.95
+
+
+def test_neutral_sentences_add_nothing():
+    p = np.array([0.01, 0.04, 0.3, 0.9])
+    assert document_score(np.append(p, [0.02] * 100_000)) == pytest.approx(document_score(p))
+    assert document_score(np.full(100_000, 0.04)) == pytest.approx(0.04) and document_score(np.array([])) == 0
+    assert document_score(np.array([0.9])) > document_score(np.array([0.5])) > document_score(np.array([0.05])) > document_score(np.array([0.01]))
+
+
+def test_clean_documents_joined_are_clean(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = train(docs, labels)
+    clean = [r.text for r in docs.join(labels.where("toxic = 0"), "doc_id").orderBy("doc_id").collect() if document_score(model.sentences(r.text)[0]) < 0.05][:1000]
+    assert len(clean) == 1000 and document_score(model.sentences("\n".join(clean))[0]) < 0.3
+
+
+def test_slopes_match_finite_differences():
+    rng = np.random.default_rng(1)
+    first = np.array([0, 3, 4, 9, 11])
+    sentence = np.sort(rng.integers(0, 11, 25))
+    ids, y, w, b = rng.integers(0, 6, 25), np.array([True, False, True, False]), rng.standard_normal(6), -0.7
+    loss, grad, grad_b = likelihood(w, b, ids, sentence, first, y)
+    slow = 0.0
+    for d in range(4):
+        clear = 1.0
+        for s in range(first[d], first[d + 1]):
+            clear *= 1 - 1 / (1 + math.exp(-(b + sum(w[i] for i, at in zip(ids, sentence, strict=True) if at == s))))
+        slow -= math.log(1 - clear if y[d] else clear) / 4
+    assert loss == pytest.approx(slow)
+    e = 1e-6
+    for i in range(6):
+        step = e * np.eye(6)[i]
+        near = [likelihood(w + k * step, b, ids, sentence, first, y)[0] for k in (1, -1)]
+        assert grad[i] == pytest.approx((near[0] - near[1]) / (2 * e), abs=1e-6)
+    near = [likelihood(w, b + k * e, ids, sentence, first, y)[0] for k in (1, -1)]
+    assert grad_b == pytest.approx((near[0] - near[1]) / (2 * e), abs=1e-6)
