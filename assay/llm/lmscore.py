@@ -84,6 +84,32 @@ class Events:
         return out
 
 
+def packed(n: np.ndarray) -> bytes:
+    """Unsigned numbers in as few bytes each as the largest needs, which the first byte says."""
+    width = next(w for w in (1, 2, 4, 8) if not len(n) or int(n.max()) < 1 << 8 * w)
+    return bytes([width]) + n.astype(f"<u{width}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.uint64)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """One or more ascending 64-bit numbers: the first, and the differences in as few bytes as the largest needs."""
+    steps = np.diff(keys)
+    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    width = data[0]
+    steps = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    out = np.zeros((len(steps) + 1, 8), np.uint8)
+    out[1:, :width] = steps
+    out[0] = np.frombuffer(data, np.uint8, 8, 1)
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
+
+
 def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys, ascending, and the number of each key among them."""
     order = np.argsort(keys)
@@ -115,7 +141,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             rid, held = rid + batch.num_rows, held + int(at[-1])
             yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(numbers), *batch.columns], names=kind.names)
 
-    return stored(docs.mapInArrow(run, kind), "blocks")
+    return stored(docs.mapInArrow(run, kind), "blocks", "zstd")
 
 
 def _units(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.Table]:
@@ -153,12 +179,12 @@ def _asked(blocks: DataFrame, n_parts: int) -> DataFrame:
         for unit in _units(batches, ["block", "rid", "target", "text"]):
             events, target = Events(unit.column("text").chunk(0)), _flags(unit.column("target"))
             for kind, keys in ((WORDS, events.words), (BIGRAMS, events.bigrams)):
-                n = events.counts(kind, target).astype("<u4")
+                n = events.counts(kind, target)
                 at = _bounds(keys, n_parts)
                 some = np.flatnonzero(np.diff(at))
-                cut = lambda x: [x[at[p] : at[p + 1]].tobytes() for p in some]  # noqa: B023, E731
+                cut = lambda x, pack: [pack(x[at[p] : at[p + 1]]) for p in some]  # noqa: B023, E731
                 m = len(some)
-                cols = [[unit.column("block")[0].as_py()] * m, [unit.column("rid")[0].as_py()] * m, [kind] * m, some, cut(keys), cut(n[0]), cut(n[1])]
+                cols = [[unit.column("block")[0].as_py()] * m, [unit.column("rid")[0].as_py()] * m, [kind] * m, some, cut(keys, packed_keys), cut(n[0], packed), cut(n[1], packed)]
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=_names(_ASKED))
 
@@ -175,21 +201,21 @@ def _answered(asked: DataFrame, n_parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups(batches):
-            keys = [np.frombuffer(k, np.uint64) for k in part["keys"]]
+            keys = [unpacked_keys(k) for k in part["keys"]]
             which = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
             distinct, number = _numbered(np.concatenate(keys))
-            n = [np.bincount(number, np.frombuffer(b"".join(part[c]), "<u4"), len(distinct)).astype(np.uint64) for c in ("n1", "n0")]
+            n = [np.bincount(number, np.concatenate([unpacked(x) for x in part[c]]), len(distinct)).astype(np.uint64) for c in ("n1", "n0")]
             events = (distinct != START) & (n[0] + n[1] > 0) if part["kind"] == WORDS else np.zeros(len(distinct), bool)
             said = [int(events.sum()), int(n[0][events].sum()), int(n[1][events].sum())]
             ends = np.searchsorted(which, np.arange(len(keys) + 1))
             m = len(keys)
-            cut = lambda x: [x[number[s:e]].tobytes() for s, e in zip(ends, ends[1:], strict=False)]  # noqa: B023, E731
+            cut = lambda x: [packed(x[number[s:e]]) for s, e in zip(ends, ends[1:], strict=False)]  # noqa: B023, E731
             cols = [part["block"], part["rid"], [part["kind"]] * m, [part["part"]] * m, cut(n[0]), cut(n[1]), *([v] + [0] * (m - 1) for v in said)]
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=_names(_ANSWERED))
 
     dealt = asked.repartition(2 * n_parts, "kind", "part").sortWithinPartitions("kind", "part")
-    return stored(dealt.mapInArrow(run, _ANSWERED), "answers")
+    return stored(dealt.mapInArrow(run, _ANSWERED), "answers", "zstd")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -237,7 +263,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targe
             events = Events(unit.column("text").chunk(0))
             kind = own.column("kind").to_numpy()
             n = {c: np.array(own.column(c).to_pylist(), object) for c in ("n1", "n0")}
-            words, bigrams = (np.stack([np.frombuffer(b"".join(n[c][kind == k]), np.uint64).astype(float) for c in ("n1", "n0")]) for k in (WORDS, BIGRAMS))
+            words, bigrams = (np.stack([np.concatenate([np.zeros(0), *map(unpacked, n[c][kind == k])]) for c in ("n1", "n0")]) for k in (WORDS, BIGRAMS))
             if words.shape[1] != len(events.words) or bigrams.shape[1] != len(events.bigrams):
                 raise ValueError("answers don't fit the block")
             target, background = events.losses(words, bigrams, total, size)

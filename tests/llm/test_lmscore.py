@@ -2,10 +2,11 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from assay.llm import lmscore
-from assay.llm.lmscore import SMOOTHING, UNIGRAM_ADD, marked, op10_lm_score, score
+from assay.llm.lmscore import SMOOTHING, UNIGRAM_ADD, marked, op10_lm_score, packed, packed_keys, score, unpacked, unpacked_keys
 
 
 def slow(docs):
@@ -77,6 +78,15 @@ def test_empty_tables_repeated_rows_and_nothing_learned(spark):
     assert [(r.id, r.score) for r in score(unknown).collect()] == [("x", 0.0)]
 
 
+@pytest.mark.parametrize("top", [1, 200, 1 << 20, 1 << 63])
+def test_packed_arrays(top):
+    rng = np.random.default_rng(top % 7)
+    n = rng.integers(0, top, 50, np.uint64, endpoint=True)
+    keys = np.unique(np.append(n, np.uint64(2**64 - 1)))
+    assert np.array_equal(unpacked(packed(n)), n) and np.array_equal(unpacked_keys(packed_keys(keys)), keys)
+    assert np.array_equal(unpacked_keys(packed_keys(keys[:1])), keys[:1]) and len(unpacked(packed(n[:0]))) == 0
+
+
 def test_documents_marked_once(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "doc_id long, text string")
     got = marked(df, spark.createDataFrame([(1,), (1,), (None,), (99,)], "doc_id long"))
