@@ -30,8 +30,8 @@ BLOCK, LANES, CHECKPOINT, PRECISION = 1 << 20, 4096, 128, 20
 #: States stay between this and 2 ** 52, so that doubles divide them exactly.
 LOW = np.uint64(1 << PRECISION)
 END = 0
-#: Distinct pieces that are tokenized at a time, and bytes of text whose pieces are made distinct.
-ASKED, LOT = 20_000, 32 << 20
+#: Words that are tokenized at a time, and that a worker remembers; bytes of text whose pieces are made distinct, and in a part.
+ASKED, REMEMBERED, LOT, PART = 20_000, 1_000_000, 8 << 20, 32 << 20
 
 #: Signs that are no letters or digits, nor an apostrophe, and a letter or digit before them: there a new token begins too.
 _MARKS, _BEFORE_MARKS = ".,;:!?*#%$&+-=_/()[]{}<>|~\"@^", "[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]$"
@@ -39,7 +39,8 @@ _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
 class Encoder:
-    """A byte-level tokenizer of the ``tokenizers`` library that tokenizes each distinct piece of many texts once.
+    """A byte-level tokenizer of the ``tokenizers`` library that tokenizes each distinct word of many texts once, and remembers
+    the words it has seen lately.
 
     Byte-level pre-tokenizing never joins text across a single space between two other characters: the space starts the
     next token. So a text's ids are those of its pieces cut there, each with its space. Other spaces are not cut at. The
@@ -57,6 +58,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
+        self.words, self.known = pa.array([], pa.string()), pa.array([], pa.binary())
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if any(" " in t for t in self.specials):
             raise ValueError("a special token holds a space")
@@ -67,24 +69,44 @@ class Encoder:
     def at(cls, path: str) -> Encoder:
         """One for each worker process and path."""
         if path not in cls._known:
+            pa.set_memory_pool(pa.system_memory_pool())  # gives large buffers back at once
             cls._known[path] = cls(path)
         return cls._known[path]
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _after_space(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of pieces that neither begin nor end with white space, each as it is after a space, and how many each has."""
-        if not pieces:
-            return np.zeros(0, self.kind), np.zeros(0, np.int64)
-        ids = self._ids([" " + " ".join(pieces)])[0]
-        starts = np.flatnonzero(self.spaced[ids])
-        if len(starts) == len(pieces) and not starts[0]:
-            return ids, np.diff(starts, append=len(ids))
-        some = self._ids([" " + p for p in pieces])
-        return np.concatenate(some), np.array([len(x) for x in some])
-
-    def _listed(self, ids: list[np.ndarray], sizes: list[int]) -> pa.Array:
+    def _after_space(self, pieces: pa.Array) -> pa.Array:
+        """The ids of pieces that neither begin nor end with white space, each as it is after a space."""
+        found, sizes = [], []
+        for at in range(0, len(pieces), ASKED):
+            some = pieces.slice(at, ASKED).to_pylist()
+            ids = self._ids([" " + " ".join(some)])[0]
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) == len(some) and not starts[0]:
+                found.append(ids)
+                sizes.append(np.diff(starts, append=len(ids)))
+            else:
+                each = self._ids([" " + p for p in some])
+                found += each
+                sizes.append(np.array([len(x) for x in each]))
+        return self._listed(found, np.concatenate([*sizes, np.zeros(0, np.int64)]))
+
+    def _remembered(self, words: pa.Array) -> pa.Array:
+        """The same for distinct words, from memory where they are there."""
+        at = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(at))
+        ids = pa.concat_arrays([self.known, self._after_space(new)])
+        which = at.to_numpy(zero_copy_only=False).copy()
+        which[np.isnan(which)] = np.arange(len(self.words), len(ids))
+        found = ids.take(pa.array(which.astype(np.int32)))
+        if len(ids) > REMEMBERED:
+            self.words, self.known = words, found
+        else:
+            self.words, self.known = pa.concat_arrays([self.words, new]), ids
+        return found
+
+    def _listed(self, ids: list[np.ndarray], sizes: list[int] | np.ndarray) -> pa.Array:
         """Consecutive ids, cut into values of so many ids, as bytes."""
         data = np.concatenate([*ids, np.zeros(0, self.kind)])
         offsets = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))]) * data.itemsize
@@ -113,16 +135,15 @@ class Encoder:
         marks = pa.array(ends_in, pa.string()).dictionary_encode()
         marks_ids = self._ids(marks.dictionary.to_pylist())
         firm_ones = np.unique(words.indices.to_numpy()[firm])
-        found, sizes = [], np.zeros(len(words.dictionary), np.int64)
-        for at in range(0, len(firm_ones), ASKED):
-            some = firm_ones[at : at + ASKED]
-            ids, sizes[some] = self._after_space(words.dictionary.take(pa.array(some)).to_pylist())
-            found.append(ids)
+        values = [self._remembered(words.dictionary.take(pa.array(firm_ones))), self._listed([*marks_ids], [*map(len, marks_ids), 0])]
         # each distinct piece as its word, then its signs or else nothing
-        both = np.full((len(distinct), 2), len(sizes) + len(marks_ids), np.int32)
-        both[:, 0] = words.indices.to_numpy()
-        both[np.flatnonzero(marked.to_numpy(zero_copy_only=False)), 1] = marks.indices.to_numpy() + len(sizes)
-        pairs = self._listed([*found, *marks_ids], [*sizes, *map(len, marks_ids), 0]).take(pa.array(both.ravel()))
+        nothing = len(firm_ones) + len(marks_ids)
+        place = np.full(len(words.dictionary), nothing, np.int32)
+        place[firm_ones] = np.arange(len(firm_ones))
+        both = np.full((len(distinct), 2), nothing, np.int32)
+        both[:, 0] = place[words.indices.to_numpy()]
+        both[np.flatnonzero(marked.to_numpy(zero_copy_only=False)), 1] = marks.indices.to_numpy() + len(firm_ones)
+        pairs = pa.concat_arrays(values).take(pa.array(both.ravel()))
         # the first piece of each text has no space before it, whatever else it has
         starts = self._ids(distinct.take(pa.array(which[first])).to_pylist())
         _, offsets, data = pairs.buffers()
@@ -251,7 +272,8 @@ def _blocks(docs: DataFrame, tokenizer: str, id_col: str, text_col: str) -> Data
     """Uncoded blocks (part, block, doc_ids, lengths, ids) in the order of ids, then of texts' hashes; null ids come first. The
     last block of a part has in (seen, times) which ids the part has, and how often."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    rows = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = rows.repartitionByRange(max(1, -(-total // PART)), "id", "h").sortWithinPartitions("id", "h").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, block = Encoder.at(tokenizer), TaskContext.get().partitionId(), 0

@@ -79,22 +79,27 @@ def test_several_parts_and_blocks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tokenbin, "BLOCK", 500)
     rows = [(r.doc_id * 7 % 1000 - 300, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     rows += [(None, "first"), (10**12, "last"), (-(10**12), "before")]
-    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
-    try:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-        spark.conf.set("spark.sql.shuffle.partitions", "13")
-        write(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), str(tmp_path / "x"), PATH)
-        blocks = spark.read.parquet(str(tmp_path / "x" / "blocks")).groupBy("part").count().collect()
-        assert len(blocks) > 8 and max(r["count"] for r in blocks) > 3
-        got = [(r.doc_id, r.start, len(r.ids) // 4, zlib.crc32(r.ids)) for r in read(spark, str(tmp_path / "x")).collect()]
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+    monkeypatch.setattr(tokenbin, "PART", 30_000)
+    monkeypatch.setattr(tokenbin, "LOT", 2_000)
+    write(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), str(tmp_path / "x"), PATH)
+    blocks = spark.read.parquet(str(tmp_path / "x" / "blocks")).groupBy("part").count().collect()
+    assert len(blocks) > 8 and max(r["count"] for r in blocks) > 3
+    got = [(r.doc_id, r.start, len(r.ids) // 4, zlib.crc32(r.ids)) for r in read(spark, str(tmp_path / "x")).collect()]
     exact = want(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)))
     assert len({r[0] for r in rows}) == len(rows)
     assert sorted(got, key=lambda r: r[1]) == exact
 
 
+@pytest.mark.parametrize("remembered", [0, 30, 10_000])
+def test_memory_of_words(monkeypatch, remembered):
+    monkeypatch.setattr(tokenbin, "REMEMBERED", remembered)
+    encoder = Encoder(PATH)
+    for k in range(12):
+        texts = [f"same words, here and other{k // 2}x{i} ones; again" for i in range(10)] + ["", " ", "\n"]
+        assert [np.frombuffer(b, np.uint16).tolist() for b in encoder.encode(texts)] == [WHOLE.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.words) == len(encoder.known) <= max(remembered, 17)
+
+
 def test_pieces_are_asked_in_parts(monkeypatch):
     monkeypatch.setattr(tokenbin, "ASKED", 7)
     texts = [f"same words here and other{k} ones,  again {'x' * k}\n {k}" for k in range(60)] + [""]
