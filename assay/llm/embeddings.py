@@ -4,10 +4,11 @@ Vectors are rotated by fast Hadamard transforms with random signs; a hash is the
 its sign. A table joins several hashes; their number follows the number of vectors. Vectors meet in the bucket of one and
 a probe of the other, where the probes change the hash that was decided by the least margin.
 
-So that large groups of near copies don't become all their pairs, vectors are first put into classes: all members lie
-within half the linking angle of the first one, hence within the linking angle of each other. Pairs of classes that meet are
-verified: by their centres and radii where these decide, else by all cosines between the members, which are counted and
-not listed. A class has at most CLASS members; larger groups are several classes.
+So that large groups don't become all their pairs, equal vectors are one weighted vector, and vectors are put into classes:
+all members lie within half the linking angle of a centre, hence within the linking angle of each other. Classes that came
+about apart are joined where the centres' angle and a radius stay within half the linking angle. Pairs of classes that meet
+are decided by their centres and radii, where these prove all or no links, and are then one row with no members; only
+the members of other pairs are compared, by blocks, and counted.
 """
 
 from __future__ import annotations
@@ -16,15 +17,16 @@ from collections.abc import Iterator
 from math import acos, ceil, cos, log2
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, dropped, stored, tidy
+from .common import broadcast_if_small, components, dropped, stored, tidy
+from .wordhash import mixed
 
 SIMILARITY = 0.95
-TABLES, PROBES, CLASS, GROUP = 12, 4, 256, 1024
+#: Tables, probes, vectors of a class that are compared at a time, and vectors that are put into classes together.
+TABLES, PROBES, BLOCK, GROUP = 12, 4, 256, 1024
 #: Bits of 128 random signs that vectors at the linking angle differ in, and a wide margin over it: no filter of links.
 SIGNS_APART = 48
 
@@ -97,6 +99,10 @@ def _signs(x: np.ndarray) -> np.ndarray:
     return np.packbits(x @ plane > 0, axis=1).view(np.int64)
 
 
+def _angles(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ centre, -1.0, 1.0))
+
+
 def classes_of(x: np.ndarray, half: float, most: int) -> list[np.ndarray]:
     """Rows in classes, each with its centre first: the others' cosine with it is at least ``half``."""
     left, out = np.arange(len(x)), []
@@ -109,6 +115,158 @@ def classes_of(x: np.ndarray, half: float, most: int) -> list[np.ndarray]:
     return out
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
+    """The columns of rows that agree in the first ``keys`` columns, where such rows are next to each other."""
+    held: list[list] = []
+    for batch in batches:
+        cols = [c.to_pylist() for c in batch.columns]
+        for row in zip(*cols, strict=True):
+            if held and tuple(c[0] for c in held[:keys]) != row[:keys]:
+                yield held
+                held = []
+            if not held:
+                held = [[] for _ in row]
+            for c, v in zip(held, row, strict=True):
+                c.append(v)
+    if held:
+        yield held
+
+
+def _rows(columns: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    """A batch of rows given as tuples."""
+    turned = list(zip(*columns, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(turned, kinds.values(), strict=True)], names=list(kinds))
+
+
+def _ddl(kinds: dict[str, pa.DataType]) -> str:
+    names = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double", pa.binary(): "binary", pa.bool_(): "boolean"}
+    return ", ".join(f"{n} {names[t]}" for n, t in kinds.items())
+
+
+def _units(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, rid, unit vectors) of the rows that have a direction, by length."""
+    given = batch.column(1).to_pylist()
+    rid = np.array(batch.column(0).to_pylist(), np.int64)
+    lengths = np.array([0 if v is None else len(v) for v in given])
+    for size in set(lengths.tolist()) - {0}:
+        own = np.flatnonzero(lengths == size)
+        x, good = unit([given[i] for i in own])
+        if good.any():
+            yield size, rid[own[good]], x[good] + 0.0
+
+
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows (size, code, ...) next to each other by bucket, crowded buckets dealt to several by the hash of ``key``."""
+    crowd = df.groupBy("size", "code").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("long").alias("salts"))
+    dealt = df.join(crowd, ["size", "code"]).withColumn("salt", F.pmod(F.xxhash64(key), "salts")).drop("salts")
+    return dealt.repartition("size", "code", "salt").sortWithinPartitions("size", "code", "salt", key)
+
+
+_BLOCK = {"class": pa.int64(), "size": pa.int32(), "code": pa.int64(), "rids": pa.binary(), "weights": pa.binary(), "xs": pa.binary(), "members": pa.int64(), "weight": pa.int64(), "radius": pa.float64(), "centre": pa.binary(), "s0": pa.int64(), "s1": pa.int64()}
+
+
+def _classes(distinct: DataFrame, angle: float) -> tuple[DataFrame, DataFrame]:
+    """Of weighted vectors (rid, size, code, x, weight): blocks (class, size, rids, weights, xs) of members, and classes
+    (class, size, members, weight, radius, centre, s0, s1), both stored. A class is called after its centre."""
+    half = cos(angle / 2) + 2e-5
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for size, code, _, rids, xs, weights in _groups(batches, 3):
+            x, rid, w = np.stack([np.frombuffer(b, float) for b in xs]), np.array(rids, np.int64), np.array(weights, np.int64)
+            for own in classes_of(x, half, len(x)):
+                name, radius = int(rid[own[0]]), float(_angles(x[own[1:]], x[own[0]]).max(initial=0.0))
+                s0, s1 = _signs(x[own[:1]])[0].tolist()
+                for at in range(0, len(own), BLOCK):
+                    some = own[at : at + BLOCK]
+                    told = (len(own), int(w[own].sum()), radius, x[own[0]].tobytes(), s0, s1) if not at else (None,) * 6
+                    out.append((name, size[0], code[0], rid[some].tobytes(), w[some].tobytes(), x[some].tobytes(), *told))
+            if len(out) >= 1000:
+                yield _rows(out, _BLOCK)
+                out = []
+        yield _rows(out, _BLOCK)
+
+    dealt = _dealt(distinct.select("size", "code", "rid", "x", "weight"), "rid").select("size", "code", "salt", "rid", "x", "weight")
+    blocks = stored(dealt.mapInArrow(grouped, _ddl(_BLOCK)), "blocks")
+    columns = ["class", "size", "code", "members", "weight", "radius", "centre", "s0", "s1"]
+    classes = blocks.where("centre is not null").select(columns)
+    kinds = {k: _BLOCK[k] for k in columns} | {"was": pa.int64()}
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Classes of one bucket joined, from the heaviest; a row each, with the class it has joined."""
+        for size, code, _, names, members, weights, radii, centres, s0, s1 in _groups(batches, 3):
+            x, r, out = np.stack([np.frombuffer(b, float) for b in centres]), np.array(radii), []
+            left = np.array(sorted(range(len(names)), key=lambda i: (-weights[i], names[i])))
+            while len(left):
+                reach = _angles(x[left], x[left[0]]) + r[left]
+                reach[0] = r[left[0]]
+                near = reach <= angle / 2 - 2e-5
+                near[0] = True
+                c, own = left[0], left[near]
+                told = (sum(members[i] for i in own), sum(weights[i] for i in own), float(reach[near].max()))
+                out += [(names[c], size[0], code[0], *told, centres[c], s0[c], s1[c], names[i]) for i in own]
+                left = left[~near]
+            yield _rows(out, kinds)
+
+    # buckets that were dealt to several groups have classes that could be one
+    n, moved = None, None
+    while True:
+        crowded = stored(classes.groupBy("size", "code").agg(F.sum("members").alias("of"), F.count(F.lit(1)).alias("n")).where(f"of > {GROUP} and n > 1").select("size", "code", "n"), "crowded")
+        now = crowded.agg(F.sum("n")).first()[0] or 0
+        if not now or n is not None and now > 0.9 * n:
+            break
+        n = now
+        few = broadcast_if_small(crowded.select("size", "code"))
+        some = _dealt(classes.join(few, ["size", "code"], "left_semi"), "class").select("size", "code", "salt", *[c for c in columns if c not in ("size", "code")])
+        done = stored(some.mapInArrow(merged, _ddl(kinds)), "merged")
+        step = done.select("was", F.col("class").alias("into"))
+        rest = classes.join(few, ["size", "code"], "left_anti")
+        classes = stored(rest.unionByName(done.where("class = was").select(columns)), "classes")
+        if moved is None:
+            moved = step
+        else:
+            joined = moved.join(step.toDF("into", "after"), "into", "left").select("was", F.coalesce("after", "into").alias("into"))
+            moved = joined
+        moved = stored(moved, "moved")
+    if moved is not None:
+        blocks = blocks.join(moved, F.col("class") == F.col("was"), "left").withColumn("class", F.coalesce("into", "class"))
+        blocks = stored(blocks.drop("was", "into"), "blocks")
+    return blocks.select("class", "size", "rids", "weights", "xs"), classes.drop("code")
+
+
+def _met(blocks: DataFrame, bits: int) -> DataFrame:
+    """(one, two): classes, one below two, of which a member of one lies in a bucket that a member of the other probes."""
+    kinds = {"bucket": pa.int64(), "class": pa.int64(), "home": pa.bool_()}
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, sizes, xs = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            for size in set(sizes.tolist()):
+                own = np.flatnonzero(sizes == size)
+                for at in range(0, len(own), 512):
+                    some = own[at : at + 512]
+                    each = [np.frombuffer(xs[int(i)].as_py(), float).reshape(-1, size) for i in some]
+                    x, of = np.concatenate(each), np.repeat(names[some], [len(e) for e in each])
+                    for t in range(TABLES):
+                        code = buckets(x, t, bits, PROBES)
+                        k = code.shape[1]
+                        bucket = mixed(code.astype(np.uint64) + np.uint64((size * TABLES + t) * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.int64).ravel()
+                        home = np.tile(np.arange(k) == 0, len(x))
+                        # a class is once in a bucket, as its home if it is any member's
+                        order = np.lexsort((~home, np.repeat(of, k), bucket))
+                        b, c, h = bucket[order], np.repeat(of, k)[order], home[order]
+                        new = np.concatenate([[True], (b[1:] != b[:-1]) | (c[1:] != c[:-1])])
+                        yield pa.RecordBatch.from_arrays([pa.array(b[new]), pa.array(c[new]), pa.array(h[new])], names=list(kinds))
+
+    put = blocks.select("class", "size", "xs").mapInArrow(hashed, _ddl(kinds))
+    put = stored(put.groupBy("bucket", "class").agg(F.bool_or("home").alias("home")), "buckets")
+    one, two = put.where("home").select("bucket", F.col("class").alias("a")), put.select("bucket", F.col("class").alias("b"))
+    met = one.join(two, "bucket").where("a <> b").select(F.least("a", "b").alias("one"), F.greatest("a", "b").alias("two")).distinct()
+    met = stored(met, "met")
+    dropped(put)
+    return met
+
+
 @tidy
 def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", similarity: float = SIMILARITY) -> DataFrame:
     """(id, n_links, component_id) of every row: the other rows found with a cosine of at least ``similarity`` in double precision.
@@ -118,114 +276,81 @@ def links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     named by its smallest id that is not null. Other columns are not looked at; an empty table gives none.
     """
     angle = acos(similarity)
-    half = cos(angle / 2) + 2e-5
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).withColumn("rid", F.monotonically_increasing_id())
     rows = stored(rows, "vectors")  # rid holds from here
     n = rows.count()
     bits = max(2, ceil(log2(max(n, 2))))
 
-    def units(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(length, rid, unit vectors, vectors as given) of the rows that have a direction, by length."""
-        given = batch.column(1).to_pylist()
-        rid = np.array(batch.column(0).to_pylist(), np.int64)
-        lengths = np.array([0 if v is None else len(v) for v in given])
-        for size in set(lengths.tolist()) - {0}:
-            own = np.flatnonzero(lengths == size)
-            x, good = unit([given[i] for i in own])
-            if good.any():
-                yield size, rid[own[good]], x[good]
-
     def coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for size, rid, x in units(batch):
+            for size, rid, x in _units(batch):
                 code = buckets(x, 0, bits, 1)[:, 0]
                 yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(np.full(len(rid), size, np.int32)), pa.array(code), pa.array([v.tobytes() for v in x], pa.binary())], names=["rid", "size", "code", "x"])
 
-    coded = stored(rows.select("rid", "v").mapInArrow(coarse, "rid long, size int, code long, x binary"), "units")
-    crowd = coded.groupBy("size", "code").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("long").alias("salts"))
-    dealt = coded.join(crowd, ["size", "code"]).withColumn("salt", F.pmod(F.xxhash64("rid"), "salts")).drop("salts")
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rid")
-        x, rid = np.stack([np.frombuffer(b, float) for b in pdf["x"]]), pdf["rid"].to_numpy(np.int64)
-        out = []
-        for own in classes_of(x, half, CLASS):
-            low = min(1.0, float((x[own] @ x[own[0]]).min()))
-            out.append((int(rid[own[0]]), int(pdf["size"].iloc[0]), len(own), acos(low) if len(own) > 1 else 0.0, rid[own].tobytes(), x[own].tobytes()))
-        return pd.DataFrame(out, columns=["class", "size", "members", "radius", "rids", "xs"])
-
-    classes = stored(dealt.groupBy("size", "code", "salt").applyInPandas(group, "class long, size int, members int, radius double, rids binary, xs binary"), "classes")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["size", "tab", "code", "class", "home", "alone", "s0", "s1"]
+    coded = rows.select("rid", "v").mapInArrow(coarse, "rid long, size int, code long, x binary")
+    coded = stored(coded.withColumns({"k1": F.xxhash64("x"), "k2": F.xxhash64("x", F.lit(1))}), "units")
+    # equal vectors: one of them, with their number
+    same = stored(coded.groupBy("size", "k1", "k2").agg(F.min("rid").alias("rep"), F.count(F.lit(1)).alias("weight")), "same")
+    distinct = coded.join(same.select(F.col("rep").alias("rid"), "weight"), "rid").select("rid", "size", "code", "x", "weight")
+    blocks, classes = _classes(distinct, angle)
+
+    met = _met(blocks, bits)
+    # vectors that are their class alone: by their signs first
+    signs = classes.select("class", "members", "s0", "s1")
+    known = met.join(signs.toDF("one", "m1", "a0", "a1"), "one").join(signs.toDF("two", "m2", "b0", "b1"), "two")
+    apart = F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))) + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")))
+    pairs = known.where((F.col("m1") > 1) | (F.col("m2") > 1) | (apart <= SIGNS_APART)).select("one", "two")
+    told = classes.select("class", "weight", "radius", "centre")
+    both = pairs.join(told.toDF("one", "w1", "r1", "c1"), "one").join(told.toDF("two", "w2", "r2", "c2"), "two").select("one", "two", "w1", "w2", "r1", "r2", "c1", "c2")
+    decided_kinds = {"one": pa.int64(), "two": pa.int64(), "w1": pa.int64(), "w2": pa.int64(), "all": pa.bool_()}
+
+    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs that are linked member by member, and those that may be linked in part; not those that are apart."""
         for batch in batches:
-            for size in set(batch.column(1).to_pylist()):
-                some = [(c, m, np.frombuffer(b, float).reshape(m, -1)) for c, k, m, b in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True) if k == size]
-                for lot in range(0, len(some), 512):
-                    x = np.concatenate([s[2] for s in some[lot : lot + 512]])
-                    of = np.repeat([s[0] for s in some[lot : lot + 512]], [s[1] for s in some[lot : lot + 512]])
-                    alone = np.repeat([s[1] == 1 for s in some[lot : lot + 512]], [s[1] for s in some[lot : lot + 512]])
-                    sign = _signs(x)
-                    for t in range(TABLES):
-                        code = buckets(x, t, bits, PROBES)
-                        k = code.shape[1]
-                        home = np.tile(np.arange(k) == 0, len(x))
-                        cols = [np.full(len(x) * k, size, np.int32), np.full(len(x) * k, t, np.int32), code.ravel(), np.repeat(of, k), home, np.repeat(alone, k), np.repeat(sign[:, 0], k), np.repeat(sign[:, 1], k)]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
-
-    kind = "size int, tab int, code long, class long, home boolean, alone boolean, s0 long, s1 long"
-    put = classes.select("class", "size", "members", "xs").mapInArrow(hashed, kind)
-    # a class is once in a bucket, whether as its home or as a probe, however many members put it there
-    put = put.groupBy("size", "tab", "code", "class").agg(F.bool_or("home").alias("home"), F.bool_or("alone").alias("alone"), F.first("s0").alias("s0"), F.first("s1").alias("s1"))
-    put = stored(put, "buckets")
-    one, two = put.where("home").alias("a"), put.alias("b")
-    met = one.join(two, (F.col("a.size") == F.col("b.size")) & (F.col("a.tab") == F.col("b.tab")) & (F.col("a.code") == F.col("b.code")) & (F.col("a.class") != F.col("b.class")))
-    apart = F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))) + F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1")))
-    met = met.where(~F.col("a.alone") | ~F.col("b.alone") | (apart <= SIGNS_APART))
-    pairs = met.select(F.least("a.class", "b.class").alias("one"), F.greatest("a.class", "b.class").alias("two")).distinct()
-    cols = ["members", "radius", "rids", "xs"]
-    left = classes.select(F.col("class").alias("one"), *[F.col(c).alias(f"{c}1") for c in cols])
-    right = classes.select(F.col("class").alias("two"), *[F.col(c).alias(f"{c}2") for c in cols])
-    both = pairs.join(left, "one").join(right, "two")
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            r = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            a, b = (np.frombuffer(b"".join(c.to_pylist()), float) for c in batch.columns[6:])
+            lengths = np.array([len(c) // 8 for c in batch.column(6).to_pylist()], np.int64)
+            between = np.arccos(np.clip(np.add.reduceat(a * b, np.cumsum(lengths) - lengths) if len(lengths) else np.zeros(0), -1.0, 1.0))
+            every = between + r < angle - 1e-6
+            out = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(every)], names=list(decided_kinds))
+            yield out.filter(pa.array(between - r <= angle + 1e-6))
+
+    found = stored(both.mapInArrow(decided, _ddl(decided_kinds)), "decided")
+    dropped(met)
+    partly = found.where("not all").select("one", "two")
+    block = blocks.select("class", "size", "rids", "weights", "xs")
+    parts = partly.join(block.toDF("one", "size", "i1", "w1", "x1"), "one").join(block.toDF("two", "size2", "i2", "w2", "x2"), "two").select("one", "two", "size", "i1", "w1", "x1", "i2", "w2", "x2")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """By all cosines between two blocks: how many each member is linked with."""
         for batch in batches:
-            out = []
-            for one, two, m1, r1, i1, x1, m2, r2, i2, x2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b = np.frombuffer(x1, float).reshape(m1, -1), np.frombuffer(x2, float).reshape(m2, -1)
-                centres = acos(max(-1.0, min(1.0, float(a[0] @ b[0]))))
-                if centres - r1 - r2 > angle + 1e-6:
-                    continue
-                if centres + r1 + r2 < angle - 1e-6:
-                    n1, n2 = np.full(m1, m2), np.full(m2, m1)
-                else:
-                    near = a @ b.T >= similarity
-                    n1, n2 = near.sum(axis=1), near.sum(axis=0)
-                if n1.any():
-                    counts = np.concatenate([n1, n2])
-                    seen = counts > 0
-                    out.append((one, two, np.concatenate([np.frombuffer(i1, np.int64), np.frombuffer(i2, np.int64)])[seen].tolist(), counts[seen].tolist()))
-            cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.list_(pa.int64()))], names=["one", "two", "rids", "counts"])
-
-    found = both.select("one", "two", "members1", "radius1", "rids1", "xs1", "members2", "radius2", "rids2", "xs2")
-    found = stored(found.mapInArrow(verified, "one long, two long, rids array<long>, counts array<long>"), "linked")
-    dropped(put)
+            for one, two, size, i1, w1, x1, i2, w2, x2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                near = np.frombuffer(x1, float).reshape(-1, size) @ np.frombuffer(x2, float).reshape(-1, size).T >= similarity
+                counts = np.concatenate([near @ np.frombuffer(w2, np.int64), np.frombuffer(w1, np.int64) @ near])
+                seen = np.flatnonzero(counts)
+                rids = np.concatenate([np.frombuffer(i1, np.int64), np.frombuffer(i2, np.int64)])[seen]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), v)) for v in (one, two)] + [pa.array(rids), pa.array(counts[seen])], names=["one", "two", "rid", "n"])
+
+    partial = stored(parts.mapInArrow(compared, "one long, two long, rid long, n long"), "compared")
+    edges = found.where("all").select("one", "two").unionByName(partial.select("one", "two").distinct())
+    named = components(edges)
+    outside = found.where("all").select(F.col("one").alias("class"), F.col("w2").alias("n")).unionByName(found.where("all").select(F.col("two").alias("class"), F.col("w1").alias("n")))
+    outside = outside.groupBy("class").agg(F.sum("n").alias("outside"))
+    whole = classes.select("class", "weight").join(outside, "class", "left").join(named, F.col("class") == F.col("node"), "left")
+    whole = whole.select("class", (F.col("weight") - 1 + F.coalesce("outside", F.lit(0))).alias("n"), F.coalesce("component", "class").alias("part"))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [np.frombuffer(b, np.int64) for b in batch.column(1).to_pylist()]
-            of = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(o) for o in own])
-            n = np.repeat([len(o) - 1 for o in own], [len(o) for o in own]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*own, np.zeros(0, np.int64)])), pa.array(of), pa.array(n)], names=["rid", "class", "inside"])
-
-    members = classes.select("class", "rids").mapInArrow(listed, "rid long, class long, inside long")
-    outside = found.select(F.explode(F.arrays_zip("rids", "counts")).alias("x")).groupBy(F.col("x.rids").alias("rid")).agg(F.sum("x.counts").alias("outside"))
-    parts = components(found.select("one", "two"))
-    placed = members.join(parts, F.col("class") == F.col("node"), "left").select("rid", "inside", F.coalesce("component", "class").alias("part")).join(outside, "rid", "left")
+            of = np.repeat(batch.column(0).to_numpy(), [len(o) for o in own])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*own, np.zeros(0, np.int64)])), pa.array(of)], names=["rep", "class"])
+
+    members = blocks.select("class", "rids").mapInArrow(listed, "rep long, class long").join(whole, "class")
+    members = members.join(partial.groupBy(F.col("rid").alias("rep")).agg(F.sum("n").alias("more")), "rep", "left")
+    members = members.select("rep", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n_links"), "part")
+    placed = coded.select("rid", "size", "k1", "k2").join(same.join(members, "rep").select("size", "k1", "k2", "n_links", "part"), ["size", "k1", "k2"]).select("rid", "n_links", "part")
     every = rows.select("id", "rid").join(placed, "rid", "left")
-    every = stored(every.select("id", F.coalesce("part", -1 - F.col("rid")).alias("part"), (F.coalesce("inside", F.lit(0)) + F.coalesce("outside", F.lit(0))).alias("n_links")), "placed")
+    every = stored(every.select("id", F.coalesce("part", -1 - F.col("rid")).alias("part"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "placed")
     least = every.groupBy("part").agg(F.min("id").alias("component_id"))
     return every.join(least, "part").select("id", "n_links", "component_id")
 

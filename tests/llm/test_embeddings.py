@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from assay.llm import embeddings
 from assay.llm.embeddings import _hadamard, buckets, classes_of, links, op4_embeddings, unit
 
 
@@ -70,6 +71,32 @@ def test_links_near_the_threshold(spark):
     assert 0.9 * there <= found <= there
 
 
+@pytest.mark.parametrize("n", [300, 1200])
+def test_large_groups_stay_few_rows(spark, monkeypatch, n):
+    """Equal vectors, very close ones and a hot bucket: exact links from a number of pairs that does not grow with the group."""
+    monkeypatch.setattr(embeddings, "GROUP", 64)
+    made, counts = {}, {}
+    store, drop = embeddings.stored, embeddings.dropped
+
+    def kept(df, name, *more):
+        made[name] = store(df, name, *more)
+        return made[name]
+
+    def counted(*tables):
+        counts.update({name: df.count() for name, df in made.items() if any(df is t for t in tables)})
+        drop(*tables)
+
+    monkeypatch.setattr(embeddings, "stored", kept)
+    monkeypatch.setattr(embeddings, "dropped", counted)
+    rng = np.random.default_rng(7)
+    a, b = rng.standard_normal(16), rng.standard_normal(16)
+    rows = [(i, (a * (1 + i % 3)).tolist()) for i in range(n)] + [(10_000 + i, (b + 0.01 * rng.standard_normal(16)).tolist()) for i in range(n)]
+    rows += [(20_000 + i, rng.standard_normal(16).tolist()) for i in range(50)]
+    got = embeddings.links.__wrapped__(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.id, r.n_links, r.component_id) for r in got) == sorted(slow(rows))
+    assert counts["met"] < 400 and made["decided"].count() < 100 and made["compared"].count() < 100
+
+
 def test_large_group_and_odd_rows(spark):
     rng = np.random.default_rng(6)
     c = rng.standard_normal(16)
