@@ -272,7 +272,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targe
         return pa.concat_tables(out)
 
     kind = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("n_tokens", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("target_loss", "background_loss", "score"))])
-    texts, said = blocks.select("block", "rid", "id", "text"), answers.select("block", "rid", "kind", "part", "n1", "n0")
+    n_tasks = max(1, n_parts // 4)  # in proportion to the texts, whatever the session's number of partitions
+    texts = blocks.select("block", "rid", "id", "text").repartition(n_tasks, "block")
+    said = answers.select("block", "rid", "kind", "part", "n1", "n0").repartition(n_tasks, "block")
     scored = stored(texts.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(run, kind), "scores")
     dropped(blocks, answers)
     return scored
