@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.operators import Context
+from assay.operators.base import expression
 from assay.plans.model import control_from, plan_from
 from assay.plans.planner import build, empty_result
-from assay.results import all_violations, metric_of, severity_summary
+from assay.results import all_violations, checks_evaluated, metrics, severity_summary
 
 AS_OF = dt.date(1996, 6, 30)
 NOW = dt.datetime(2026, 1, 1)
@@ -85,8 +86,8 @@ _PLANS: dict[str, tuple[list[dict], str, list[str] | None, str]] = {
         "j", ["doc_id", "source", "doc_id_1", "quality", "toxic"], "SELECT d.doc_id, source, l.doc_id AS doc_id_1, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     ),
     "join_full": (
-        [_n("nation"), _n("region"), {"type": "JOIN", "left": "n_nation", "right": "n_region", "left_key": "n_nationkey", "right_key": "r_regionkey", "join_type": "full", "output_alias": "j"}],
-        "j", None, "SELECT * FROM nation FULL JOIN region ON n_nationkey = r_regionkey",
+        [*_DOC_LABELS, {"type": "JOIN", "left": "n_documents", "right": "n_labels", "left_key": "doc_id", "right_key": "doc_id", "join_type": "full", "output_alias": "j"}],
+        "j", ["doc_id", "lang", "source", "doc_id_1", "quality", "toxic"], "SELECT d.doc_id, d.lang, d.source, l.doc_id AS doc_id_1, l.quality, l.toxic FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id",
     ),
     "join_full_two_sided": (
         [_n("customer"), _n("supplier"), {"type": "JOIN", "left": "n_customer", "right": "n_supplier", "left_key": "c_custkey", "right_key": "s_nationkey", "join_type": "full", "output_alias": "j"}],
@@ -175,9 +176,9 @@ _PLANS: dict[str, tuple[list[dict], str, list[str] | None, str]] = {
         "SELECT 'CHK-7' AS check_id, d.doc_id, 'Required field quality is NULL or missing' AS reason, 'completeness' AS result_type FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE quality IS NULL",
     ),
     "completeness_prefilter": (
-        [_n("texts"), {"type": "COMPLETENESS", "input": "n_texts", "check_field": "as_date", "filter": {"field": "event_id", "op": "lt", "value": 5000}, "output_alias": "c"}],
+        [_n("texts"), {"type": "COMPLETENESS", "input": "n_texts", "check_field": "as_date", "filter": {"field": "event_type", "op": "eq", "value": "error"}, "output_alias": "c"}],
         "c", ["check_id", "event_id", "reason"],
-        f"SELECT NULL::VARCHAR AS check_id, event_id::BIGINT AS event_id, 'Required field as_date is NULL or missing' AS reason FROM ({_TEXTS_SQL}) WHERE event_id::BIGINT < 5000 AND try_cast(as_date AS DATE) IS NULL",
+        f"SELECT NULL::VARCHAR AS check_id, event_id::BIGINT AS event_id, 'Required field as_date is NULL or missing' AS reason FROM ({_TEXTS_SQL}) WHERE trim(event_type) = 'error' AND try_cast(as_date AS DATE) IS NULL",
     ),
     "uniqueness_single": (
         [_n("lineitem"), {"type": "UNIQUENESS", "input": "n_lineitem", "key_columns": ["l_orderkey"], "output_alias": "u"}],
@@ -236,6 +237,46 @@ def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+#: name -> (table, key, names and expressions of the plan language, which is the oracle's own dialect).
+_EXPRESSIONS: dict[str, tuple[str, str, dict[str, str]]] = {
+    "expr_dates": ("events", "event_id", {
+        "weeks": "date_diff('week', ts, TIMESTAMP '2026-02-01 00:00:00')", "quarters": "date_diff('quarter', ts, TIMESTAMP '2026-02-01 00:00:00')",
+        "minutes": "date_diff('minute', ts, TIMESTAMP '2026-02-01 00:00:30')", "seconds": "datediff('second', ts, TIMESTAMP '2026-02-01 00:00:30')",
+        "sunday_0": "dayofweek(ts)::BIGINT", "weekday_0": "weekday(ts)::BIGINT", "monday_1": "isodow(ts)::BIGINT", "dow": "date_part('dow', ts)::BIGINT", "in_year": "dayofyear(ts)::BIGINT",
+        "iso_week": "week(ts)::BIGINT", "iso_year": "isoyear(ts)::BIGINT", "month_of": "extract(month FROM ts)::BIGINT", "dow_of": "extract(dow FROM ts)::BIGINT",
+        "shown": "strftime(ts, '%d/%m/%Y at %H:%M:%S, day %j')", "hour_12": "strftime(ts, '%I %p %a %b')", "day_name": "dayname(ts)", "month_name": "monthname(ts)",
+        "whole_months": "date_sub('month', ts, TIMESTAMP '2026-02-01 00:00:30')", "next_day": "strftime(date_add(ts, INTERVAL 1 DAY), '%Y-%m-%d')",
+    }),
+    "expr_strings": ("part", "p_partkey", {
+        "first_only": "regexp_replace(p_name, '[aeiou]', '*')", "every": "regexp_replace(p_name, '[aeiou]', '$', 'g')", "swapped": r"regexp_replace(p_name, '([a-z])([a-z])', '\2\1')",
+        "last_word": "regexp_extract(p_name, '[a-z]+$')", "initial": "regexp_extract(p_type, '^(.)(.)', 2)", "from_0": "substr(p_name, 0, 3)", "from_2": "substr(p_name, 2, 3)", "end_3": "substr(p_name, -3)",
+        "from_any": "substring(p_name, p_size % 3, 3)", "plain_backslash": r"replace(p_name, ' ', '\_') LIKE '%\_%'", "escaped": r"replace(p_name, ' ', '_') LIKE '%!_%' ESCAPE '!'", "whole": "regexp_full_match(p_brand, 'Brand#[0-9]')",
+        "part_of": "regexp_matches(p_brand, '#1')", "both_ends": "trim(p_name, 'cdt')", "left_end": "ltrim(p_name, 'cold')", "right_end": "rtrim(p_name, 'tge')", "second_word": "split_part(p_name, ' ', 2)",
+        "word_1": "list_extract(string_split(p_name, ' '), 1)", "n_words": "len(string_split(p_name, ' '))::BIGINT", "place": "strpos(p_name, 'w')::BIGINT", "digest": "sha256(p_name)",
+    }),
+    "expr_math": ("part", "p_partkey", {
+        "log_10": "round(log(p_retailprice), 6)", "log_e": "round(ln(p_retailprice), 6)", "log_b": "round(log(2, p_retailprice), 6)", "squared": "p_size ^ 2", "twice_over": "2 ^ 3 ^ 2 + p_size ** 2", "negative": "10 - p_size ^ 2", "of_sign": "-p_size ^ 2",
+        "in_parens": "(p_size - 3) ^ (1 + 1)", "cut_off": "trunc(-p_retailprice / 7)", "half_even": "(p_size / 2)::BIGINT", "half_even_cast": "CAST(p_size * 0.5::DOUBLE AS BIGINT)", "half_away": "(p_size * 0.5)::BIGINT", "of_text": "'2.5'::BIGINT",
+        "of_case": "CASE WHEN p_size > 20 THEN 2.5::DOUBLE ELSE 3.5::DOUBLE END::BIGINT", "either": "xor(p_size, 5)::BIGINT", "whole": "(p_size // 4)::BIGINT",
+    }),
+}
+
+
+def _expressions(name: str) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
+    table, key, found = _EXPRESSIONS[name]
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = _planned(spark, sf_dir, [_n(table)]).env[f"n_{table}"]
+        return df.select(key, *[expression(e, Context(as_of=AS_OF)).alias(n) for n, e in found.items()])
+
+    return query, f"SELECT {key}, {', '.join(f'{e} AS {n}' for n, e in found.items())} FROM {table}"
+
+
+#: Metrics with values in lists, which keep nulls, and none for no rows.
+_LISTS = {"n_all": "len(list(CASE WHEN o_totalprice > 100000 THEN o_custkey END))::BIGINT", "n_some": "len(array_agg(o_custkey) FILTER (WHERE o_totalprice > 300000))::BIGINT", "smallest": "list_extract(list_sort(list(o_custkey)), 1)", "missing": "len(list(o_custkey) FILTER (WHERE o_totalprice < 0))::BIGINT"}
+_LISTS_PLAN = [_n("orders"), {"type": "AGGREGATE", "input": "n_orders", "check_id": "CHK-L", "group_by": ["o_orderpriority"], "metrics": [{"name": n, "formula": f} for n, f in _LISTS.items()]}]
+_LISTS_SQL = f"SELECT o_orderpriority, {', '.join(f'{f} AS {n}' for n, f in _LISTS.items())} FROM orders GROUP BY o_orderpriority"
+
 _GROUP = [
     _n("orders"), _n("customer"), _n("labels"), _n("documents"), {"type": "JOIN", "left": "n_orders", "right": "n_customer", "left_key": "o_custkey", "right_key": "c_custkey", "output_alias": "j"},
     {"type": "FILTER", "input": "j", "conditions": ["c_acctbal < -900"], "output_alias": "poor", "check_id": "CHK-A"},
@@ -252,19 +293,32 @@ def _violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_violations(_planned(spark, sf_dir, _GROUP), "CTL-1", _SEVERITIES, NOW, spark)
 
 
+def _checks_evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the engine says about each check of a group; a row a check."""
+    planned = _planned(spark, sf_dir, _GROUP)
+    said = checks_evaluated(all_violations(planned, "CTL-1", _SEVERITIES, NOW, spark), planned, [])
+    return spark.createDataFrame([(c["check_id"], c["type"], c["violations"], c["passed"]) for c in said], "check_id string, type string, n long, passed boolean")
+
+
 def _multi_terminal(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.coalesce(F.get_json_object("evidence", "$.o_orderkey"), F.get_json_object("evidence", "$.doc_id")).cast("long")
     return _violations(spark, sf_dir).select("control_id", "group_id", "check_id", "severity", "reason", key.alias("evidence_key"))
 
 
+_SIGNS = (">=", ">", "<=", "<", "==", "=", "!=", "<>")
+
+
 def _metric_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The headline metric of a group with its control's threshold; one row."""
-    steps = [_n("orders"), {"type": "AGGREGATE", "input": "n_orders", "check_id": "CHK-R", "metrics": [{"name": "rate", "formula": "ROUND(COUNT(*) FILTER (WHERE o_orderstatus = 'F')::DOUBLE / NULLIF(COUNT(*), 0), 4)"}, {"name": "n", "formula": "COUNT(*)"}]}]
-    control = control_from({"control_id": "CTL-1", "checks": [{"check_id": "CHK-R", "type": "aggregate", "severity": "high", "threshold": {"operator": ">=", "value": 0.4}}]})
-    row = _planned(spark, sf_dir, steps).terminals[0].frame.first().asDict()
-    m = metric_of(row, "CTL-1", "g1", control, NOW)
-    return spark.createDataFrame([(m.check_id, m.metric_name, m.metric_value, m.passed, int(m.supporting["n"]))], "check_id string, metric_name string, metric_value double, passed boolean, n long")
+    """A group's metric under every sign that a threshold may have; a row a check."""
+    made = {"name": "rate", "formula": "ROUND(COUNT(*) FILTER (WHERE o_orderstatus = 'F')::DOUBLE / NULLIF(COUNT(*), 0), 4)"}, {"name": "n", "formula": "COUNT(*)"}
+    steps = [_n("orders")] + [{"type": "AGGREGATE", "input": "n_orders", "check_id": f"CHK-{i}", "output_alias": f"a{i}", "metrics": made} for i in range(len(_SIGNS))]
+    steps = [s | {"metrics": list(s["metrics"])} if "metrics" in s else s for s in steps]
+    control = control_from({"control_id": "CTL-1", "checks": [{"check_id": f"CHK-{i}", "type": "aggregate", "severity": "high", "threshold": {"operator": sign, "value": 0.4}} for i, sign in enumerate(_SIGNS)]})
+    own = metrics(_planned(spark, sf_dir, steps), "CTL-1", control, NOW)
+    return spark.createDataFrame([(m.check_id, m.metric_name, m.metric_value, m.passed, int(m.supporting["n"])) for m in own], "check_id string, metric_name string, metric_value double, passed boolean, n long")
+
 
+_METRIC_SQL = "SELECT ROUND(COUNT(*) FILTER (WHERE o_orderstatus = 'F')::DOUBLE / NULLIF(COUNT(*), 0), 4) AS rate, COUNT(*) AS n FROM orders"
 
 _OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "multi_terminal_union": (
@@ -272,13 +326,18 @@ _OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         f"SELECT 'CTL-1' AS control_id, 'g1' AS group_id, check_id, severity, CASE check_id WHEN 'CHK-C' THEN 'Record present in n_documents but absent from n_labels' ELSE 'Violation detected by ' || check_id END AS reason, k AS evidence_key FROM ({_GROUP_SQL})",
     ),
     "severity_summary": (lambda spark, sf_dir: severity_summary(_violations(spark, sf_dir)), f"SELECT severity, COUNT(*) AS n_violations FROM ({_GROUP_SQL}) GROUP BY severity"),
-    "checks_evaluated": (lambda spark, sf_dir: _violations(spark, sf_dir).groupBy("check_id").agg(F.count(F.lit(1)).alias("n")), f"SELECT check_id, COUNT(*) AS n FROM ({_GROUP_SQL}) GROUP BY check_id"),
+    "checks_evaluated": (
+        _checks_evaluated,
+        f"SELECT c.check_id, c.type, COUNT(g.check_id) AS n, COUNT(g.check_id) = 0 AS passed FROM (VALUES ('CHK-A', 'row_level'), ('CHK-B', 'row_level'), ('CHK-C', 'reconciliation')) c(check_id, type) LEFT JOIN ({_GROUP_SQL}) g ON g.check_id = c.check_id GROUP BY c.check_id, c.type",
+    ),
     "metric_threshold": (
         _metric_threshold,
-        "SELECT 'CHK-R' AS check_id, 'rate' AS metric_name, rate AS metric_value, rate >= 0.4 AS passed, n FROM (SELECT ROUND(COUNT(*) FILTER (WHERE o_orderstatus = 'F')::DOUBLE / NULLIF(COUNT(*), 0), 4) AS rate, COUNT(*) AS n FROM orders)",
+        " UNION ALL ".join(f"SELECT 'CHK-{i}' AS check_id, 'rate' AS metric_name, rate AS metric_value, rate {'=' if sign == '==' else sign} 0.4 AS passed, n FROM ({_METRIC_SQL})" for i, sign in enumerate(_SIGNS)),
     ),
+    "expr_lists": (lambda spark, sf_dir: _planned(spark, sf_dir, _LISTS_PLAN).terminals[0].frame.select("o_orderpriority", *_LISTS), _LISTS_SQL),
     "empty_plan": (lambda spark, sf_dir: empty_result(spark), "SELECT NULL::VARCHAR AS result_type WHERE FALSE"),
 }
+_OTHER |= {name: _expressions(name) for name in _EXPRESSIONS}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -28,6 +28,20 @@ def test_translation(text, want):
     assert translate(text, DAY) == want
 
 
+@pytest.mark.parametrize("text", ["date_diff('decade', a, b)", "age(a, b)", "epoch(a)", "regexp_replace(a, b, 'c')", "strftime(a, '%U')", "strftime(a, b)", "list(DISTINCT a)", "list(a ORDER BY b)", "a[1]", "to_timestamp(a)", "string_split(a, b)", "::INT", "a ^"])
+def test_what_would_differ_is_refused(text):
+    with pytest.raises(PlanError):
+        translate(text, DAY)
+
+
+@pytest.mark.parametrize("text, safe", [
+    ("load > 5", True), ("a + copy", True), ("update IS NULL", True), ("call = 'x' AND load", True), ("max(load)", True), ("a > 1 AND copy", True),
+    ("DELETE FROM x", False), ("DELETE", False), ("COPY t TO 'x'", False), ("a = (SELECT 1)", False), ("LOAD 'x'", False), ("a UNION b", False), ("CALL f(1)", False), ("execute('x')", False), ("drop", False),
+])
+def test_statements_are_told_from_columns(text, safe):
+    assert bool(scan(text)) is not safe
+
+
 def test_refusals():
     assert scan("a; b") and scan("a /* x */") and scan("(a") and scan("DELETE") and not scan("deleted = 'x'")
     with pytest.raises(PlanError):
@@ -43,6 +57,9 @@ EXPRESSIONS = [
     "a + b * 2", "a / 4", "a // 4", "a % 3", "round(x, 1)", "coalesce(nullif(a, 3), -1)", "case when a > 3 then 'big' else s end", "upper(s) || '-' || lower(s)", "length(s)", "s like 'a%'", "s ilike 'A%'",
     "s in ('ab', 'c''d')", "a between 2 and 5", "a::BIGINT > 2 or x is null", "cast(a as VARCHAR)", "cast(a as DOUBLE) / 3", "try_cast(s as BIGINT)", "date_diff('day', d, t)", "date_diff('hour', d, t)", "date_diff('month', d, t)", "date_diff('year', d, t)",
     "year(d) * 100 + month(d)", "cast(t as DATE) > d", "d > CURRENT_DATE", "abs(a - 4)", "greatest(a, 3)", "starts_with(s, 'a')", "contains(s, 'b')", "substr(s, 1, 1)", "trim(s)", "replace(s, 'a', 'z')", "concat(s, a)", "not (a > 3)", "-a", "a <> 3 and a != 4", "strlen(s)", "a >= 2 and (s = 'ab' or s is null)",
+    "date_diff('week', d, t)", "date_diff('minute', d, t)", "date_diff('quarter', d, t)", "dayofweek(d)", "weekday(d)", "isodow(t)", "log(a + 1)", "2 ^ b", "-b ^ 2", "10 - b ** 2", "(a + 1) ^ 2 ^ b", "regexp_replace(s, '[a-z]', 'b')", "regexp_replace(s, '([a-z])', '<\\1>', 'g')",
+    "regexp_extract(s, '[a-z]+')", "strftime(t, '%Y-%m-%d %H:%M')", "substr(s, 0, 2)", "substr(s, b, 2)", "replace(s, 'b', '\\_') like '%\\_'", "s || '_' like '%!_' escape '!'", "x::BIGINT", "cast(x as INTEGER)", "1.5::DOUBLE::BIGINT", "2.5::BIGINT", "(a / 4)::INT", "try_cast(x as BIGINT)",
+    "case when a > 3 then x else -x end::BIGINT", "len(s)", "list_extract(string_split(s, 'b'), 1)", "[a, b] = [3, 0]", "trunc(x * 3)", "extract(year from d)", "extract('dow' from d)", "date_part('isodow', d)", "a not in (1, 2)", "not s like 'a%'", "ltrim(s, 'a')", "d + INTERVAL 1 DAY > t", "coalesce(s, 'none') = 'none' and a is not null",
 ]
 
 
