@@ -107,9 +107,22 @@ def metrics(planned: Planned, control_id: str, control: Control | None = None, n
     return out
 
 
+def violation_counts(found: DataFrame) -> dict[tuple[str, str], int]:
+    """How many violations each check has of each severity: a row a check."""
+    return {(r["check_id"], r["severity"]): r["n"] for r in found.groupBy("check_id", "severity").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
 def checks_evaluated(found: DataFrame, planned: Planned, own: list[Metric]) -> list[dict]:
     """For each check of the plan its type and how many violations it has, also if there is none."""
-    counts = {r["check_id"]: r["count"] for r in found.groupBy("check_id").count().collect()}  # a row a check
+    counts = {(r["check_id"], ""): r["count"] for r in found.groupBy("check_id").count().collect()}  # a row a check
+    return checks_of(counts, planned, own)
+
+
+def checks_of(found: Mapping[tuple[str, str], int], planned: Planned, own: list[Metric]) -> list[dict]:
+    """The same from the violations' counts by check and severity."""
+    counts: dict[str, int] = {}
+    for (check, _), n in found.items():
+        counts[check] = counts.get(check, 0) + n
     out: dict[str, dict] = {}
     for t in planned.terminals:
         check = getattr(t.step, "check_id", None) or "unknown"

@@ -25,9 +25,3 @@ def create_session(app_name: str = "assay", master: str | None = None, conf: dic
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
-
-def pin_semantics(spark: SparkSession) -> SparkSession:
-    """Set what a session that someone else made must agree on; the zone and strictness only."""
-    for key in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled", "spark.sql.caseSensitive"):
-        spark.conf.set(key, SEMANTICS[key])
-    return spark

@@ -18,7 +18,10 @@ from assay.functions.translate import quoted
 #: Texts that mean null, and date formats in the order in which they are tried (as strptime has them, and as Spark does).
 NULL_TOKENS = ("", "N/A", "NULL", "null", "None", "NONE", "-")
 DATE_FORMATS = (("%Y-%m-%d", "yyyy-M-d"), ("%m/%d/%Y", "M/d/yyyy"), ("%d-%m-%Y", "d-M-yyyy"), ("%Y%m%d", "yyyyMMdd"), ("%d/%m/%Y", "d/M/yyyy"))
+#: Values looked at, and the share of them, and then of all, that must be dates.
 SNIFFED, LOOKS_LIKE, READS_AS = 50, 0.7, 0.6
+#: Rows that are looked at first; columns with fewer than SNIFFED values in them are looked at on their own.
+LOOKED_AT = 1_000
 
 
 def cleaned(c: Column, tokens: tuple[str, ...] = NULL_TOKENS) -> Column:
@@ -55,6 +58,18 @@ def as_date(c: Column, fmt: str) -> Column:
     return F.try_to_timestamp(c, F.lit(fmt)).cast("date")
 
 
+def _first_values(df: DataFrame, names: list[str]) -> dict[str, list[str]]:
+    """The first values of each column, nulls left out: from one look at all columns where that has enough."""
+    if not names:
+        return {}
+    rows = df.select(*[quoted(c) for c in names]).limit(LOOKED_AT).collect()
+    out = {c: [r[i] for r in rows if r[i] is not None][:SNIFFED] for i, c in enumerate(names)}
+    for c in names if len(rows) == LOOKED_AT else ():
+        if len(out[c]) < SNIFFED:
+            out[c] = [r[0] for r in df.select(quoted(c)).where(F.col(quoted(c)).isNotNull()).limit(SNIFFED).collect()]
+    return out
+
+
 def typed(df: DataFrame, headers: list[str], overrides: dict[str, str] | None = None, tokens: tuple[str, ...] = NULL_TOKENS) -> tuple[DataFrame, list[ColumnSchema]]:
     """The table with cleaned and typed columns, and its schema.
 
@@ -65,9 +80,7 @@ def typed(df: DataFrame, headers: list[str], overrides: dict[str, str] | None =
     overrides = overrides or {}
     text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
     df = df.select(*[(cleaned(df[quoted(c)], tokens) if c in text else df[quoted(c)]).alias(c) for c in df.columns])
-    firsts = {c: [] for c in text}
-    for c in sorted(text):
-        firsts[c] = [r[0] for r in df.select(quoted(c)).where(F.col(quoted(c)).isNotNull()).limit(SNIFFED).collect()]
+    firsts = _first_values(df, sorted(text))
     dates = {c for c in text if overrides.get(c) == "date" or c not in overrides and looks_like_dates(firsts[c])}
     asked = []
     for i, c in enumerate(df.columns):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .names import column_names
 
-SUFFIXES = (".csv", ".xlsx", ".xls", ".parquet")
+SUFFIXES = (".csv", ".xlsx", ".parquet")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -16,10 +16,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_raw(spark: SparkSession, path: str, sheet: str | None = None) -> tuple[DataFrame, list[str]]:
+def read_raw(spark: SparkSession, path: str, sheet: str | None = None, multiline: bool | None = None) -> tuple[DataFrame, list[str]]:
     """The table with clean column names, and its headers. CSV columns are text; types are found later.
 
-    A missing file is a FileNotFoundError, another suffix a ValueError; both at once, not when rows are read.
+    ``multiline`` says whether CSV values may hold line breaks, in which case a file is one task; None looks for lines with a
+    quote that isn't closed. A missing file is a FileNotFoundError, another suffix a ValueError (old .xls workbooks too);
+    both at once, not when rows are read.
     """
     suffix = "." + path.rstrip("/").rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
     if suffix not in SUFFIXES:
@@ -30,8 +32,12 @@ def read_raw(spark: SparkSession, path: str, sheet: str | None = None) -> tuple[
         df = spark.read.parquet(path)
         return df.toDF(*column_names(df.columns)), df.columns
     if suffix == ".csv":
-        first = spark.read.text(path).limit(1).collect()
-        df = spark.read.option("header", True).option("inferSchema", False).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+        lines = spark.read.text(path)
+        first = lines.limit(1).collect()
+        if multiline is None:
+            quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+            multiline = not lines.where(quotes % 2 == 1).isEmpty()
+        df = spark.read.option("header", True).option("inferSchema", False).option("multiLine", multiline).option("quote", '"').option("escape", '"').csv(path)
         headers = _headers(first[0][0], df.columns) if first else list(df.columns)
         return df.toDF(*column_names(headers)), headers
     return _read_excel(spark, path, sheet)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
+import shutil
+import tempfile
 from dataclasses import asdict
 from pathlib import Path
 from typing import Any
@@ -64,6 +67,24 @@ def load_control(path: str | os.PathLike) -> Control:
     return control_from(load(path))
 
 
+def scratch(spark: SparkSession) -> str:
+    """The shared folder named in spark.checkpoint.dir; a temporary one on a single machine, an error on a cluster without."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    made = tempfile.mkdtemp(prefix="assay-run-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return made
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """A file or folder in any store; nothing if it isn't there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Registry:
     """Datasets by id: where the raw file is, which sheet, which columns must be there. The last registration holds."""
 
@@ -79,7 +100,7 @@ class Registry:
         return self.entries[dataset_id]
 
 
-def ingest(spark: SparkSession, raw: str, target: str, schema_path: str | os.PathLike, dataset: str, sheet: str | None = None, required: tuple[str, ...] = (), force: bool = False, tokens: tuple[str, ...] = NULL_TOKENS) -> DataFrame:
+def ingest(spark: SparkSession, raw: str, target: str, schema_path: str | os.PathLike, dataset: str, sheet: str | None = None, required: tuple[str, ...] = (), force: bool = False, tokens: tuple[str, ...] = NULL_TOKENS, multiline: bool | None = None) -> DataFrame:
     """Read a raw file, type it, and write it as Parquet at ``target``; what is there already is read again unless forced.
 
     The first run writes the schema; later ones follow the file, which may have been edited. Missing required columns are an
@@ -87,7 +108,7 @@ def ingest(spark: SparkSession, raw: str, target: str, schema_path: str | os.Pat
     """
     if not force and Path(schema_path).exists() and exists(spark, f"{target}/_SUCCESS"):
         return spark.read.schema(spark_schema(load_schema(schema_path))).parquet(target)
-    df, headers = read_raw(spark, raw, sheet)
+    df, headers = read_raw(spark, raw, sheet, multiline)
     overrides = {c.normalized_name: c.type for c in load_schema(schema_path)} if Path(schema_path).exists() else None
     if missing := [c for c in required if c not in df.columns]:
         raise ValueError(f"dataset {dataset!r} lacks required columns: {', '.join(missing)}")

@@ -72,6 +72,27 @@ def test_metrics_and_report(done, tmp_path):
     assert "open_accounts" in (tmp_path / "groups/g1/plan.txt").read_text() and json.loads((tmp_path / "groups/g1/results.json").read_text())["metrics"][0]["metric_value"] == 0.25
 
 
+def test_a_bad_row_fails_its_group_only(spark, tmp_path):
+    """A division by zero in a column that no count needs: the group fails, its rows are left out, and the other's are written."""
+    df = {"t": spark.createDataFrame([(1, None), (0, None), (5, "x")], "x int, s string")}
+    n = {"type": "NORMALIZE", "dataset": "t", "output_alias": "n"}
+    bad = [n, {"type": "THRESHOLD", "input": "n", "condition": "10 / x > 1", "flag_field": "flag", "output_alias": "f"}, {"type": "COMPLETENESS", "input": "f", "check_field": "s", "output_alias": "c", "check_id": "B"}]
+    good = [n, {"type": "COMPLETENESS", "input": "n", "check_field": "s", "output_alias": "c", "check_id": "G"}]
+    groups = [Group("bad", 1, ("t",), (), plan_from({"group_id": "bad", "steps": bad})), Group("good", 2, ("t",), (), plan_from({"group_id": "good", "steps": good}))]
+    run = run_control(spark, "CTL", groups, df, table=str(tmp_path / "violations.parquet"))
+    assert {a.group_id: a.status for a in run.audit} == {"bad": "error", "good": "success"} and "DIVIDE_BY_ZERO" in run.audit[0].error
+    assert run.status == "success" and run.overall == "FAIL" and run.by_severity == {"medium": 2}
+    write_run(run, tmp_path)
+    assert {(r.group_id, r.check_id) for r in spark.read.parquet(str(tmp_path / "violations.parquet")).collect()} == {("good", "G")}
+    audit = json.loads((tmp_path / "audit.json").read_text())
+    assert [g["status"] for g in audit["groups"]] == ["error", "success"] and audit["total_violation_count"] == 2
+    found = json.loads((tmp_path / "groups/good/results.json").read_text())["violations"]
+    assert found["count"] == 2 and [v["check_id"] for v in found["first"]] == ["G", "G"]
+    assert json.loads((tmp_path / "groups/bad/results.json").read_text())["violations"]["count"] == 0
+    again = run_control(spark, "CTL", groups[1:], df, table=str(tmp_path / "violations.parquet"))
+    assert again.violations.count() == 2
+
+
 def test_no_groups_is_an_error(spark):
     run = run_control(spark, "CTL", [], {})
     assert run.status == "error" and run.violations.count() == 0
@@ -136,17 +157,107 @@ def test_streams(spark, tmp_path):
         build_stream(plan_from({"steps": [steps[0], {"type": "UNIQUENESS", "input": "n", "key_columns": ["k"], "output_alias": "u"}]}), Context({"t": source}))
 
 
-def test_command_line(spark, tmp_path, capsys):
-    from assay.cli import main
-
-    (tmp_path / "people.csv").write_text("Person ID,Status\nP1,ACTIVE\nP2,\n")
-    (tmp_path / "plans").mkdir()
+def files(tmp_path, plan):
+    tmp_path.mkdir(exist_ok=True)
+    (tmp_path / "people.csv").write_text('Person ID,Status\nP1,ACTIVE\nP2,\nP3,"two\nlines"\n')
+    (tmp_path / "plans").mkdir(exist_ok=True)
     (tmp_path / "control.yaml").write_text("control_id: CTL\ndatasets: [{id: people, path: people.csv, required_columns: [person_id]}]\nchecks: [{id: C, severity: high}]\n")
     (tmp_path / "plans/groups.yaml").write_text("groups: [{group_id: g1, execution_order: 1, datasets: [people], checks: [C]}]\n")
-    (tmp_path / "plans/g1.yaml").write_text("group_id: g1\nsteps:\n- {type: NORMALIZE, dataset: people, output_alias: n}\n- {type: COMPLETENESS, input: n, check_field: status, output_alias: c, check_id: C}\n")
-    base = ["--control", str(tmp_path / "control.yaml"), "--out", str(tmp_path / "work")]
+    (tmp_path / "plans/g1.yaml").write_text(plan)
+    return ["--control", str(tmp_path / "control.yaml"), "--out", str(tmp_path / "work")]
+
+
+PLAN = "group_id: g1\nsteps:\n- {type: NORMALIZE, dataset: people, output_alias: n}\n- {type: FILTER, input: n, conditions: [\"status = 'ACTIVE'\"], output_alias: f, terminal: false}\n- {type: COMPLETENESS, input: n, check_field: status, output_alias: c, check_id: C}\n"
+
+
+def test_command_line(spark, tmp_path, capsys, caplog):
+    from assay.cli import main
+
+    base = files(tmp_path, PLAN)
+    assert main(["build", *base, "--dry-run"], spark) == 0 and not (tmp_path / "work").exists()
     assert main(["ingest", *base], spark) == 0 and main(["build", *base], spark) == 0
     assert main(["run", *base], spark) == 1
     assert json.loads(capsys.readouterr().out)["violations_by_severity"] == {"high": 1}
     (tmp_path / "plans/g1.yaml").write_text("group_id: g1\nsteps:\n- {type: NORMALIZE, dataset: other, output_alias: n}\n")
     assert main(["build", *base], spark) == 2
+    assert main(["run", *base, "--group", "none"], spark) == 2
+
+
+def test_edited_plans_are_told(spark, tmp_path, capsys):
+    from assay.cli import main
+
+    base = files(tmp_path, PLAN)
+    warned = lambda: json.loads((tmp_path / "work/results/audit.json").read_text())["groups"][0]["manual_edit_warning"]
+    assert main(["run", *base], spark) == 1 and not warned()
+    (tmp_path / "plans/g1.yaml").write_text(PLAN.replace("'ACTIVE'", "'GONE'"))
+    assert main(["execute", *base], spark) == 1 and warned()
+    assert main(["run", *base], spark) == 1 and warned()
+    assert main(["build", *base, "--force", "compile"], spark) == 0 and main(["execute", *base], spark) == 1 and not warned()
+
+
+def test_text_filters_of_ingested_data_reach_the_files(spark, tmp_path, capsys):
+    from assay.cli import main
+
+    plan = PLAN.replace(", terminal: false", ", check_id: C")
+    assert main(["run", *files(tmp_path, plan)], spark) == 1
+    assert "EqualTo(status,ACTIVE)" in (tmp_path / "work/results/groups/g1/plan.txt").read_text()
+    assert "EqualTo(status,ACTIVE)" in (tmp_path / "work/compiled/g1.txt").read_text()
+
+
+def test_a_missing_file_is_its_groups_error(spark, tmp_path, capsys):
+    from assay.cli import main
+
+    base = files(tmp_path, PLAN)
+    (tmp_path / "control.yaml").write_text("control_id: CTL\ndatasets: [{id: people, path: people.csv}, {id: gone, path: gone.csv}]\nchecks: [{id: C, severity: low}]\n")
+    (tmp_path / "plans/groups.yaml").write_text("groups: [{group_id: g1, execution_order: 1, datasets: [people]}, {group_id: g2, execution_order: 2, datasets: [gone]}]\n")
+    (tmp_path / "plans/g2.yaml").write_text("group_id: g2\nsteps:\n- {type: NORMALIZE, dataset: gone, output_alias: n}\n- {type: COMPLETENESS, input: n, check_field: x, output_alias: c, check_id: C}\n")
+    assert main(["ingest", *base], spark) == 2 and main(["ingest", *base, "--dataset", "people"], spark) == 0
+    assert main(["run", *base], spark) == 1
+    report = json.loads(capsys.readouterr().out)
+    assert [(g["group_id"], g["status"]) for g in report["groups"]] == [("g1", "success"), ("g2", "error")] and report["violations_by_severity"] == {"low": 1}
+
+
+def answers(asked):
+    """A provider: the plan of the tests, whatever is asked."""
+    assert asked["schemas"]["people"]["status"] == "string" and asked["samples"]["people"]
+    steps = [{"type": "NORMALIZE", "dataset": "people", "output_alias": "n"}, {"type": "COMPLETENESS", "input": "n", "check_field": "status", "output_alias": "c", "check_id": "C"}]
+    return {"groups": [{"group_id": "g1", "datasets": ["people"], "steps": steps}]} if asked.get("wanted") != "steps" else {"steps": steps}
+
+
+def answers_in_two(asked):
+    return answers(asked)
+
+
+answers_in_two.two_stages = True
+
+
+@pytest.mark.parametrize("name", ["answers", "answers_in_two"])
+def test_a_provider_writes_plans(spark, tmp_path, capsys, name):
+    from assay.cli import main
+
+    base = files(tmp_path, PLAN)
+    (tmp_path / "plans/groups.yaml").unlink()
+    assert main(["run", *base], spark) == 2 and main(["run", *base, "--provider", f"{__name__}:{name}", "--skip-llm"], spark) == 2
+    assert main(["run", *base, "--provider", f"{__name__}:nobody"], spark) == 2
+    assert main(["run", *base, "--provider", f"{__name__}:{name}"], spark) == 1
+    assert json.loads(capsys.readouterr().out)["violations_by_severity"] == {"high": 1}
+    assert (tmp_path / "plans/groups.yaml").exists() and main(["run", *base, "--skip-llm"], spark) == 1
+
+
+def test_settings(spark, tmp_path, capsys, monkeypatch):
+    from assay.cli import main
+    from assay.settings import load_settings
+
+    (tmp_path / "controls/one").mkdir(parents=True)
+    files(tmp_path / "controls/one", PLAN)
+    (tmp_path / "s.yaml").write_text(f"controls: {tmp_path}/controls\nout: {tmp_path}/out\nlog_json: true\nspark: {{spark.x: 1}}\n")
+    got = load_settings(tmp_path / "s.yaml", {"ASSAY_RETRIES": "5", "ASSAY_NULL_TOKENS": ",none"})
+    assert (got.log_json, got.retries, got.null_tokens, got.spark) == (True, 5, ("", "none"), {"spark.x": "1"})
+    assert main(["run", "--settings", str(tmp_path / "s.yaml")], spark) == 1 and (tmp_path / "out/one/results/audit.json").exists()
+    assert main(["run", "--settings", str(tmp_path / "s.yaml"), "--control", "one", "--out", str(tmp_path / "o2")], spark) == 1
+    for env in ({"ASSAY_RETRIES": "many"}, {"ASSAY_LOG_JSON": "perhaps"}):
+        with pytest.raises(PlanError):
+            load_settings(None, env)
+    (tmp_path / "bad.yaml").write_text("colour: red\n")
+    assert main(["run", "--settings", str(tmp_path / "bad.yaml")], spark) == 2
+    assert main(["run", "--control", "absent"], spark) == 2

@@ -95,3 +95,33 @@ def test_sheets():
     for book, name, said in ((Book(a=Sheet(), b=Sheet()), None, "several"), (one, "z", "no sheet"), (Book(a=Sheet()), None, "empty")):
         with pytest.raises(ValueError, match=said):
             sheet_rows(book, name)
+
+
+def test_line_breaks_in_values(spark, tmp_path):
+    """Found by quotes that a line leaves open; a file without them is split into several tasks."""
+    (tmp_path / "a.csv").write_text('k,s\n1,"one\ntwo"\n2,"a ""quoted"" word"\n')
+    (tmp_path / "b.csv").write_text('k,s\n1,"a ""quoted"" word, and more"\n2,x\n')
+    rows = lambda f, **more: sorted(map(tuple, read_raw(spark, str(tmp_path / f), **more)[0].collect()))
+    assert rows("a.csv") == [("1", "one\ntwo"), ("2", 'a "quoted" word')] and rows("b.csv") == [("1", 'a "quoted" word, and more'), ("2", "x")]
+    assert len(rows("a.csv", multiline=False)) == 3 and rows("b.csv", multiline=True) == rows("b.csv")
+
+
+def test_first_values_beyond_the_first_rows(spark, monkeypatch):
+    from assay.sources import columns
+
+    monkeypatch.setattr(columns, "LOOKED_AT", 4)
+    df = spark.createDataFrame([("a", None)] * 5 + [("b", "2026-01-05")], "x string, y string").coalesce(1)
+    assert columns._first_values(df, ["x", "y"]) == {"x": ["a"] * 5 + ["b"], "y": ["2026-01-05"]}
+    assert columns._first_values(df.limit(2), ["x", "y"]) == {"x": ["a", "a"], "y": []} and columns._first_values(df, []) == {}
+
+
+def test_workbooks(spark, tmp_path):
+    with pytest.raises(ValueError, match="unsupported"):
+        read_raw(spark, str(tmp_path / "old.xls"))
+    openpyxl = pytest.importorskip("openpyxl")
+    book = openpyxl.Workbook()
+    book.active.append(["An ID", None, "Day"])
+    book.active.append([1, "x", dt.datetime(2026, 1, 5)])
+    book.save(tmp_path / "b.xlsx")
+    df, headers = read_raw(spark, str(tmp_path / "b.xlsx"))
+    assert df.columns == ["an_id", "col_1", "day"] and [tuple(r) for r in df.collect()] == [("1", "x", "2026-01-05")]
