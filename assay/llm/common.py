@@ -102,6 +102,14 @@ def release(spark: SparkSession) -> None:
     only(spark)
 
 
+@atexit.register
+def _at_exit() -> None:
+    """What is left goes with the session, where that is still there."""
+    spark = SparkSession._instantiatedSession
+    if any(_tables) and spark is not None and spark.sparkContext._jsc is not None:
+        release(spark)
+
+
 def tidy(operator: Callable) -> Callable:
     """An operator whose tables are deleted when it returns, but for those that its resulting DataFrames read. These belong
     to the operator that called it, or else stay until ``release``."""
@@ -116,7 +124,7 @@ def tidy(operator: Callable) -> Callable:
             return out
         finally:
             if _tables[-1]:
-                only(SparkSession.getActiveSession(), *results)
+                only(SparkSession.getActiveSession() or SparkSession._instantiatedSession, *results)
             left = _tables.pop()
             _tables[-1].extend(left)
 

@@ -26,7 +26,7 @@ from .wordhash import mixed
 
 SIMILARITY = 0.95
 #: Tables, probes, vectors of a class that are compared at a time, and vectors that are put into classes together.
-TABLES, PROBES, BLOCK, GROUP = 12, 4, 256, 1024
+TABLES, PROBES, BLOCK, GROUP = 12, 4, 256, 256
 #: Bits of 128 random signs that vectors at the linking angle differ in, and a wide margin over it: no filter of links.
 SIGNS_APART = 48
 
@@ -157,8 +157,9 @@ def _units(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]
 
 def _dealt(df: DataFrame, key: str) -> DataFrame:
     """Rows (size, code, ...) next to each other by bucket, crowded buckets dealt to several by the hash of ``key``."""
-    crowd = df.groupBy("size", "code").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("long").alias("salts"))
-    dealt = df.join(crowd, ["size", "code"]).withColumn("salt", F.pmod(F.xxhash64(key), "salts")).drop("salts")
+    crowd = df.groupBy("size", "code").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("long").alias("salts")).where("salts > 1")
+    dealt = df.join(broadcast_if_small(stored(crowd, "crowd")), ["size", "code"], "left")
+    dealt = dealt.withColumn("salt", F.coalesce(F.pmod(F.xxhash64(key), "salts"), F.lit(0).cast("long"))).drop("salts")
     return dealt.repartition("size", "code", "salt").sortWithinPartitions("size", "code", "salt", key)
 
 

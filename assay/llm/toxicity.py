@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .wordhash import lots
+
 #: Bounds of the labelled sample that the model is fitted on: expected documents and bytes of text.
 SAMPLE_DOCS, SAMPLE_BYTES = 8_000, 24 << 20
 #: A labelled text beyond this is not sampled (every text is scored, whatever its length).
@@ -192,14 +194,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = F
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            scores, found = [], []
-            for text in batch.column(at):
-                p, where = model.sentences(text.as_py() or "")
-                scores.append(document_score(p))
-                if spans:
-                    found.append([{"start": s.start(), "end": s.end(), "score": float(x)} for s, x in zip(where, p, strict=True) if x >= least])
-            more = [pa.array(scores, pa.float64())] + ([pa.array(found, kind)] if spans else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=out.names)
+            for lot in lots(batch, at):  # smaller batches go back than have come
+                scores, found = [], []
+                for text in lot.column(at):
+                    p, where = model.sentences(text.as_py() or "")
+                    scores.append(document_score(p))
+                    if spans:
+                        found.append([{"start": s.start(), "end": s.end(), "score": float(x)} for s, x in zip(where, p, strict=True) if x >= least])
+                more = [pa.array(scores, pa.float64())] + ([pa.array(found, kind)] if spans else [])
+                yield pa.RecordBatch.from_arrays([*lot.columns, *more], names=out.names)
 
     return given.mapInArrow(run, out)
 
