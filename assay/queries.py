@@ -6,6 +6,8 @@ Every query is a plan of the plan language, as a dict, and goes through validati
 from __future__ import annotations
 
 import datetime as dt
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +15,11 @@ from pyspark.sql import functions as F
 
 from assay.operators import Context
 from assay.operators.base import expression
-from assay.plans.model import control_from, plan_from
+from assay.pipeline import run_control
+from assay.plans.model import Group, control_from, plan_from
 from assay.plans.planner import build, empty_result
 from assay.results import all_violations, checks_evaluated, metrics, severity_summary
+from assay.sources.store import ingest, scratch
 
 AS_OF = dt.date(1996, 6, 30)
 NOW = dt.datetime(2026, 1, 1)
@@ -320,6 +324,46 @@ def _metric_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _METRIC_SQL = "SELECT ROUND(COUNT(*) FILTER (WHERE o_orderstatus = 'F')::DOUBLE / NULLIF(COUNT(*), 0), 4) AS rate, COUNT(*) AS n FROM orders"
 
+def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a raw CSV file with odd headers, null tokens and dates as text, ingested: types are found again."""
+    folder = f"{scratch(spark)}/raw-{uuid.uuid4().hex}"
+    k = F.col("c_custkey")
+    day = F.date_format(F.date_add(F.lit(AS_OF), (k % 300).cast("int")), "yyyy-MM-dd")
+    raw = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+        k.alias("Cust Key"), F.concat(F.lit(" "), "c_name").alias("Name (full)"), F.round("c_acctbal", 2).alias("Balance"), F.when(k % 10 == 0, "N/A").otherwise(day).alias("Opened-On"), F.when(k % 7 == 0, "-").otherwise(F.col("c_mktsegment")).alias("1st Segment"),
+    )
+    raw.write.option("header", True).option("ignoreLeadingWhiteSpace", False).csv(f"{folder}/customer.csv")
+    with tempfile.TemporaryDirectory() as schemas:
+        return ingest(spark, f"{folder}/customer.csv", f"{folder}/customer", f"{schemas}/customer.yaml", "customer", required=("cust_key",))
+
+
+_INGESTED_SQL = f"""SELECT c_custkey AS cust_key, trim(c_name) AS name_full, round(c_acctbal, 2) AS balance, CASE WHEN c_custkey % 10 <> 0 THEN DATE '{AS_OF}' + (c_custkey % 300)::INT END AS opened_on,
+  CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS col_1st_segment FROM customer"""
+
+
+def _controlled(spark: SparkSession, sf_dir: str):
+    """A control of two groups through the whole run, one of which fails at a row."""
+    bad = [_n("orders"), {"type": "THRESHOLD", "input": "n_orders", "condition": "1 / (o_custkey - o_custkey) > 1", "flag_field": "odd", "output_alias": "t"}, {"type": "COMPLETENESS", "input": "t", "check_field": "odd", "output_alias": "c", "check_id": "CHK-Z"}]
+    groups = [Group("g0", 1, ("orders",), (), plan_from({"group_id": "g0", "steps": bad})), Group("g1", 2, (), (), plan_from({"group_id": "g1", "steps": _GROUP}))]
+    control = control_from({"control_id": "CTL-1", "checks": [{"check_id": c, "severity": _SEVERITIES.get(c, "medium")} for c in ("CHK-A", "CHK-B", "CHK-C", "CHK-Z")]})
+    datasets = {d: spark.read.parquet(f"{sf_dir}/{d}.parquet") for d in ("orders", "customer", "documents", "labels")}
+    return run_control(spark, "CTL-1", groups, datasets, control=control, as_of=AS_OF, now=NOW)
+
+
+def _control_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.coalesce(F.get_json_object("evidence", "$.o_orderkey"), F.get_json_object("evidence", "$.doc_id")).cast("long")
+    return _controlled(spark, sf_dir).violations.select("control_id", "group_id", "check_id", "severity", key.alias("evidence_key"))
+
+
+def _control_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run = _controlled(spark, sf_dir)
+    rows = [(a.group_id, a.status, c["check_id"], c["violations"]) for a in run.audit for c in a.checks or [{"check_id": None, "violations": 0}]]
+    return spark.createDataFrame([(*r, run.overall) for r in rows], "group_id string, status string, check_id string, n long, overall string")
+
+
+_FIRST = [_n("events"), {"type": "THRESHOLD", "input": "n_events", "condition": "row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) = 1 OR SUM(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) > 900", "flag_field": "noted", "output_alias": "t"}]
+_FIRST_SQL = f"SELECT event_id, {_FIRST[1]['condition']} AS noted FROM events"
+
 _OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "multi_terminal_union": (
         _multi_terminal,
@@ -334,6 +378,13 @@ _OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
         _metric_threshold,
         " UNION ALL ".join(f"SELECT 'CHK-{i}' AS check_id, 'rate' AS metric_name, rate AS metric_value, rate {'=' if sign == '==' else sign} 0.4 AS passed, n FROM ({_METRIC_SQL})" for i, sign in enumerate(_SIGNS)),
     ),
+    "ingest_csv": (_ingested, _INGESTED_SQL),
+    "control_violations": (_control_violations, f"SELECT 'CTL-1' AS control_id, 'g1' AS group_id, check_id, severity, k AS evidence_key FROM ({_GROUP_SQL})"),
+    "control_audit": (
+        _control_audit,
+        f"SELECT 'g1' AS group_id, 'success' AS status, c.check_id, COUNT(g.check_id) AS n, 'FAIL' AS overall FROM (VALUES ('CHK-A'), ('CHK-B'), ('CHK-C')) c(check_id) LEFT JOIN ({_GROUP_SQL}) g ON g.check_id = c.check_id GROUP BY c.check_id UNION ALL SELECT 'g0', 'error', NULL, 0, 'FAIL'",
+    ),
+    "window_functions": (lambda spark, sf_dir: _planned(spark, sf_dir, _FIRST).env["t"].select("event_id", "noted"), _FIRST_SQL),
     "expr_lists": (lambda spark, sf_dir: _planned(spark, sf_dir, _LISTS_PLAN).terminals[0].frame.select("o_orderpriority", *_LISTS), _LISTS_SQL),
     "empty_plan": (lambda spark, sf_dir: empty_result(spark), "SELECT NULL::VARCHAR AS result_type WHERE FALSE"),
 }
