@@ -147,15 +147,19 @@ def overall(by_severity: Mapping[str, int], own: list[Metric], errors: int = 0)
 
 
 def data_digest(df: DataFrame) -> str:
-    """SHA-256 over the names of a table's files, their lengths and times: it changes when the data may have."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    parts = []
-    for f in sorted(df.inputFiles()):
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        status = path.getFileSystem(conf).getFileStatus(path)
-        parts.append(f"{path.getName()}:{status.getLen()}:{status.getModificationTime()}")
-    return hashlib.sha256("\n".join(parts).encode()).hexdigest()
+    """SHA-256 over the names of a table's files, their lengths and times: it changes when the data may have. Files are listed
+    by Spark, as many at a time as there are; their contents aren't read."""
+    spark, leaves = df.sparkSession, df._jdf.queryExecution().analyzed().collectLeaves()
+    roots = []
+    for leaf in (leaves.apply(i) for i in range(leaves.size())):
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            paths = leaf.relation().location().rootPaths()
+            roots += [paths.apply(k).toString() for k in range(paths.size())]
+    if not roots:
+        return hashlib.sha256(b"").hexdigest()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(sorted(set(roots)))
+    found = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("time")).toArrow()
+    return hashlib.sha256("\n".join(sorted(f"{f['name']}:{f['length']}:{f['time']}" for f in found.to_pylist())).encode()).hexdigest()
 
 
 @dataclass

@@ -8,7 +8,7 @@ from assay.operators.sets import renamed_right
 from assay.pipeline import run_control, write_run
 from assay.plans.model import Group, PlanError, control_from, plan_from
 from assay.plans.planner import build
-from assay.results import checks_evaluated, holds, metric_of, overall
+from assay.results import checks_evaluated, data_digest, holds, metric_of, overall
 from assay.streaming import build_stream
 
 DAY = dt.date(2026, 5, 10)
@@ -115,6 +115,16 @@ def test_threshold_table():
     assert overall({"low": 5}, []) == "PASS" and overall({"high": 1}, []) == "FAIL" and overall({}, [], 1) == "FAIL"
 
 
+def test_digests_follow_the_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    read = lambda: data_digest(spark.read.parquet(path))
+    spark.range(10).selectExpr("id", "id % 2 as p").write.partitionBy("p").parquet(path)
+    one = read()
+    assert one == read() == data_digest(spark.read.parquet(path).where("id > 3")) and len(one) == 64
+    spark.range(11).selectExpr("id", "id % 2 as p").write.mode("overwrite").partitionBy("p").parquet(path)
+    assert read() != one and data_digest(spark.createDataFrame([(1,)], "x int")) == data_digest(spark.createDataFrame([(2,)], "x int"))
+
+
 def test_collisions():
     assert renamed_right(["k", "s"], ["k", "s", "t"]) == ["k_1", "s_1", "t"]
     assert renamed_right(["k", "s"], ["k", "s", "t"], "running") == ["k_1", "s_2", "t"]
