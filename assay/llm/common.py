@@ -6,7 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +18,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: The most that any operator broadcasts, in bytes of rows, and the most rows.
 BROADCAST_BYTES, BROADCAST_ROWS = 32 << 20, 400_000
-#: Whether Spark deletes the files of a query's shuffles when the query has ended.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While an operator writes a table: the files of its shuffles are deleted when it is written, and batches that go to Python
+#: are small, as a worker holds several copies of one.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 _own_scratch: str | None = None
 #: Folders of the tables that are there, for each operator that runs inside another, outermost first.
@@ -47,17 +49,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def writing(spark: SparkSession) -> Iterator[None]:
+    """WRITING holds inside."""
+    before = {key: spark.conf.get(key, None) for key in WRITING}
+    for key, value in WRITING.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation.
     The files of the shuffles that led to it are deleted."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with writing(spark):
         df.write.option("compression", compression).parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -71,7 +82,7 @@ def _folders(df: DataFrame) -> set[str]:
     leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     found = set()
     for i in range(leaves.size()):
-        if leaves.apply(i).getClass().getSimpleName() == "LogicalRelation":
+        if leaves.apply(i).getClass().getSimpleName() == "LogicalRelation" and leaves.apply(i).relation().getClass().getSimpleName() == "HadoopFsRelation":
             roots = leaves.apply(i).relation().location().rootPaths()
             for k in range(roots.size()):
                 at = roots.apply(k)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, dropped, scratch_path, stored, tidy
+from .common import broadcast_if_small, dropped, scratch_path, stored, tidy, writing
 
 BLOCK, LANES, CHECKPOINT, PRECISION = 1 << 20, 4096, 128, 20
 #: States stay between this and 2 ** 52, so that doubles divide them exactly.
@@ -338,7 +338,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
                 b = {"part": part, "block": block, "doc_ids": doc_ids, "lengths": lengths} | encode_block(np.frombuffer(ids, f"<u{width}"), f, first)
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(b.values(), _ARROW, strict=True)], names=list(b))
 
-    raw.drop("seen", "times").mapInArrow(code, _KIND).write.parquet(f"{path}/blocks")
+    with writing(spark):
+        raw.drop("seen", "times").mapInArrow(code, _KIND).write.parquet(f"{path}/blocks")
     dropped(raw)
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that are worked on at a time (more only where one word is longer), and bytes of texts in a lot.
-CHUNK, LOT = 1 << 20, 4 << 20
+CHUNK, LOT = 1 << 19, 2 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _VALUE = np.random.default_rng(2024).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
