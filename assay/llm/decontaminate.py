@@ -62,9 +62,10 @@ def build_index(docs: DataFrame, vocab: DataFrame, id_col: str = "doc_id", text_
 
 def _ranked(phrases: DataFrame, vocab: DataFrame, index: DataFrame) -> DataFrame:
     """(wid, m, terms): a window's terms (n, off, key) from the rarest; windows with a term that the corpus lacks are out."""
-    counts = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    terms = phrases.select("wid", F.size("phrase").alias("m"), F.posexplode("phrase").alias("off", "term")).join(vocab, "term")
-    ranked = terms.join(counts, "key").groupBy("wid", "m").agg(F.sort_array(F.collect_list(F.struct("n", "off", "key"))).alias("terms"))
+    counts = stored(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "counts")
+    # a frequent term is in very many windows: a row a term is joined where the windows are, if that is small
+    terms = phrases.select("wid", F.size("phrase").alias("m"), F.posexplode("phrase").alias("off", "term")).join(broadcast_if_small(vocab), "term")
+    ranked = terms.join(broadcast_if_small(counts), "key").groupBy("wid", "m").agg(F.sort_array(F.collect_list(F.struct("n", "off", "key"))).alias("terms"))
     return ranked.where(F.size("terms") == F.col("m"))
 
 
