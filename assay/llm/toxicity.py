@@ -10,6 +10,7 @@ what a sentence has above FLOOR is added up; of sentences below it the worst one
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ THRESHOLD = 0.3
 #: Sentences of at most this probability are neutral.
 FLOOR = 0.05
 
-_SENTENCE, _WORD = re.compile(r"[^.!?\n]+"), re.compile(r"\w+")
+_SENTENCE, _WORD, _WORD_OR_END = re.compile(r"[^.!?\n]+"), re.compile(r"\w+"), re.compile(r"[.!?\n]|\w+")
 
 
 def _features(word: str) -> set[int]:
@@ -54,18 +55,28 @@ class Model(dict):
     def __missing__(self, word: str) -> float:
         if len(self) > 300_000:
             self.clear()
-        self[word] = w = sum(self.weights.get(f, 0.0) for f in _features(word))
+        if word in ".!?\n":  # the end of a sentence
+            self[word] = math.nan
+            return math.nan
+        get, n = self.weights.get, len(word)
+        w = get(zlib.crc32(word.encode()), 0.0)  # as _features has them
+        for k in PREFIXES:
+            if n >= k:
+                w += get(zlib.crc32((word[:k] + "*").encode()), 0.0)
+        self[word] = w
         return w
 
+    def probabilities(self, text: str) -> np.ndarray:
+        """The probability of each sentence of a whole text, those without a word left out."""
+        z = np.array(list(map(self.__getitem__, _WORD_OR_END.findall(text.lower()))), float)
+        ends = np.isnan(z)
+        of = np.cumsum(ends)
+        sums, words = np.bincount(of, np.where(ends, 0.0, z)), np.bincount(of, ~ends)
+        return 1 / (1 + np.exp(-np.clip(sums[words > 0] + self.bias, -30, 30)))
+
     def sentences(self, text: str) -> tuple[np.ndarray, list[re.Match]]:
-        """The probability of each sentence of a whole text, and where it is."""
-        spans, z = [], []
-        weight = self.__getitem__
-        for s in _SENTENCE.finditer(text):
-            if words := _WORD.findall(s.group().lower()):
-                spans.append(s)
-                z.append(sum(map(weight, words)))
-        return 1 / (1 + np.exp(-np.clip(np.array(z, float) + self.bias, -30, 30))), spans
+        """The same, and where these sentences are."""
+        return self.probabilities(text), [s for s in _SENTENCE.finditer(text) if _WORD.search(s.group().lower())]
 
 
 def noisy_or(p: np.ndarray) -> float:
@@ -197,10 +208,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = F
             for lot in lots(batch, at):  # smaller batches go back than have come
                 scores, found = [], []
                 for text in lot.column(at):
-                    p, where = model.sentences(text.as_py() or "")
+                    text = text.as_py() or ""
+                    p = model.probabilities(text)
                     scores.append(document_score(p))
                     if spans:
-                        found.append([{"start": s.start(), "end": s.end(), "score": float(x)} for s, x in zip(where, p, strict=True) if x >= least])
+                        where = model.sentences(text)[1] if (p >= least).any() else []
+                        found.append([{"start": s.start(), "end": s.end(), "score": float(x)} for s, x in zip(where, p, strict=False) if x >= least])
                 more = [pa.array(scores, pa.float64())] + ([pa.array(found, kind)] if spans else [])
                 yield pa.RecordBatch.from_arrays([*lot.columns, *more], names=out.names)
 

@@ -1,9 +1,12 @@
 import math
+import re
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from assay.llm.toxicity import Model, document_score, fit, likelihood, noisy_or, op2_toxicity, score, train
+from assay.llm.toxicity import Model, _features, document_score, fit, likelihood, noisy_or, op2_toxicity, score, train
 
 ROWS = [(i, f"A plain line here. {'You awful%d thing. ' % (i % 3) if i % 4 == 0 else 'You kind thing. '}Another line follows", int(i % 4 == 0)) for i in range(200)]
 
@@ -48,6 +51,18 @@ def test_held_out_accuracy(spark):
     assert f1 > 0.9 and auc > 0.95
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["awful", "Awful", "kind", " ", " ", ".", "!?", "\n", "…", "İ", "ß", "naïve", "_", "'", "1"]), max_size=30).map("".join))
+def test_sentences_match_brute_force(text):
+    own = {f: 0.7 * i - 1 for i, f in enumerate(sorted(_features("awful") | _features("kind") | _features("i")))}
+    model = Model(-0.5, own)
+    p, where = model.sentences(text)
+    slow = [[w for w in re.findall(r"\w+", s.lower())] for s in re.split(r"[.!?\n]", text)]
+    want = [1 / (1 + math.exp(0.5 - sum(sum(own.get(f, 0.0) for f in _features(w)) for w in words))) for words in slow if words]
+    assert p.tolist() == pytest.approx(want) and len(where) == len(p)
+    assert all(re.search(r"\w", s.group().lower()) and not re.search(r"[.!?\n]", s.group()) for s in where)
+
+
 def test_neutral_sentences_add_nothing():
     p = np.array([0.01, 0.04, 0.3, 0.9])
     assert document_score(np.append(p, [0.02] * 100_000)) == pytest.approx(document_score(p))
