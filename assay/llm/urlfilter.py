@@ -23,6 +23,8 @@ BITS_A_KEY, PROBES, WORDS = 16, 8, 8
 #: The largest filter that is made, in blocks of 64 bytes; a list for which it is too small still gives right results, as
 #: the join decides, but more keys pass.
 MOST_BLOCKS = 1 << 20
+#: Characters of keys that are tested at a time.
+TESTED = 1 << 22
 
 
 def host_of(url: Column) -> Column:
@@ -92,11 +94,20 @@ def domains(host: str, labels: int) -> list[str]:
 def possible_keys(hosts: list[str], paths: list[str], holds: Callable[[list[bytes]], np.ndarray], lengths: list[int], labels: int) -> Iterator[tuple[int, str]]:
     """(url, key) of the keys, a host and the start of a path, that the filter may hold."""
     asked = [(i, d) for i, host in enumerate(hosts) for d in domains(host, labels) if d]
-    listed = [asked[k] for k in np.flatnonzero(holds([d.encode() for _, d in asked]))]
-    for i, d in listed:
-        keys = [f"{d} {paths[i][:n]}" for n in lengths if n <= len(paths[i])]
-        for k in np.flatnonzero(holds([k.encode() for k in keys])):
-            yield i, keys[k]
+
+    def passed(some: list[tuple[int, str]]) -> Iterator[tuple[int, str]]:
+        return (some[k] for k in np.flatnonzero(holds([key.encode() for _, key in some])))
+
+    held, chars = [], 0
+    for i, d in passed(asked):
+        for n in lengths:
+            if n <= len(paths[i]):
+                held.append((i, f"{d} {paths[i][:n]}"))
+                chars += len(d) + n
+                if chars > TESTED:
+                    yield from passed(held)
+                    held, chars = [], 0
+    yield from passed(held)
 
 
 @tidy

@@ -1,6 +1,7 @@
 import duckdb
 import pytest
 
+from assay.llm import urlfilter
 from assay.llm.urlfilter import OP9_SQL, BlockedBloom, domains, judge, op9_urls
 
 
@@ -46,6 +47,11 @@ def test_domains():
     assert domains("a.b.c.com", 2) == ["com", "c.com"] and domains("a.com", 9) == ["com", "a.com"] and domains("", 3) == [""] and domains("x", 0) == []
 
 
+def test_keys_are_tested_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "TESTED", 9)
+    test_odd_urls(spark)
+
+
 def test_long_hosts(spark):
     """A host of many labels costs memory for the labels that rules have only, and still meets its rule."""
     host = "s." * 200_000 + "a.com"
