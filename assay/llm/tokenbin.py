@@ -31,7 +31,7 @@ BLOCK, LANES, CHECKPOINT, PRECISION = 1 << 20, 4096, 128, 20
 LOW = np.uint64(1 << PRECISION)
 END = 0
 #: Words that are tokenized at a time, and that a worker remembers; bytes of text whose pieces are made distinct, and in a part.
-ASKED, REMEMBERED, LOT, PART = 20_000, 1_000_000, 8 << 20, 32 << 20
+ASKED, REMEMBERED, LOT, PART = 20_000, 250_000, 8 << 20, 32 << 20
 
 #: Signs that are no letters or digits, nor an apostrophe, and a letter or digit before them: there a new token begins too.
 _MARKS, _BEFORE_MARKS = ".,;:!?*#%$&+-=_/()[]{}<>|~\"@^", "[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]$"
