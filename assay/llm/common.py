@@ -50,10 +50,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def writing(spark: SparkSession) -> Iterator[None]:
-    """WRITING holds inside."""
-    before = {key: spark.conf.get(key, None) for key in WRITING}
-    for key, value in WRITING.items():
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The values hold inside."""
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
         spark.conf.set(key, value)
     try:
         yield
@@ -62,6 +62,11 @@ def writing(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def writing(spark: SparkSession):
+    """WRITING holds inside."""
+    return settings(spark, WRITING)
+
+
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and lost executors cost no recomputation.
     The files of the shuffles that led to it are deleted."""

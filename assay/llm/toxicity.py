@@ -13,7 +13,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import WRITING, broadcast_if_small, settings, stored, tidy
 from .wordhash import lots
 
-#: Bounds of the labelled sample that the model is fitted on: expected documents and bytes of text.
-SAMPLE_DOCS, SAMPLE_BYTES = 8_000, 24 << 20
-#: A labelled text beyond this is not sampled (every text is scored, whatever its length).
-SAMPLE_TEXT_BYTES = 2 << 20
 PREFIXES = (4, 5, 6)
 #: A feature is learned if it is in so many documents of label 1, that many times and standard deviations above chance.
 LEAST_DOCS, LEAST_LIFT, LEAST_SIGMA = 3, 4.0, 2.5
 THRESHOLD = 0.3
+ROUNDS, RATE, LASSO = 200, 0.15, 0.01
+#: Where the likelihood is worked out: of bags of so many bytes at most by the driver, of more by executors. The model is the same.
+DRIVER_BYTES = 16 << 20
+#: Words and features that a task remembers, and numbers in a block of bags.
+HELD, BLOCK = 100_000, 1 << 16
 #: Sentences of at most this probability are neutral.
 FLOOR = 0.05
 
@@ -93,44 +96,185 @@ def document_score(p: np.ndarray, floor: float = FLOOR) -> float:
     return noisy_or(np.append(above[above > 0], min(float(p.max()), floor)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str, label_col: str, id_col: str) -> Model:
-    """Train on a sample of labelled rows, bounded in expectation by SAMPLE_DOCS and SAMPLE_BYTES and chosen by a hash of the id.
+class _Known(dict):
+    """A function of words whose results are kept for the next time."""
+
+    def __init__(self, of: Callable[[str], tuple]):
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, word: str) -> tuple:
+        if len(self) > HELD:
+            self.clear()
+        self[word] = found = self.of(word)
+        return found
+
+
+def _words(text: str) -> Iterator[list[str]]:
+    """The words of each sentence that has some, as scores see them."""
+    for s in _SENTENCE.finditer(text.lower()):
+        if words := _WORD.findall(s.group()):
+            yield words
+
 
-    ``labels`` has one row an id. Executors turn texts into sentence features; the driver gets these hashes only and maximises
-    the likelihood by Adam. Rows without a label are left out. Without rows of both labels the model gives every sentence a
-    probability near 0.
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[bool, str]]:
+    for batch in batches:
+        for label, text in zip(batch.column(0), batch.column(1), strict=True):
+            yield label.as_py(), text.as_py()
+
+
+def _counted(texts: DataFrame) -> DataFrame:
+    """(feature, n1, n): how many of the texts (label, text) of label 1, and how many of all, have the feature. Feature -1 stands
+    for any word at all."""
+
+    def table(n: Counter, n1: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in (n, (n1[f] for f in n), n.values())], names=["feature", "n1", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known(lambda word: tuple(_features(word)))
+        n, n1 = Counter(), Counter()
+        for label, text in _rows(batches):
+            words: set[str] = set()
+            for some in _words(text):
+                words.update(some)
+            if words:
+                own = {-1}.union(*map(known.__getitem__, words))
+                n.update(own)
+                if label:
+                    n1.update(own)
+            if len(n) > HELD:
+                yield table(n, n1)
+                n, n1 = Counter(), Counter()
+        yield table(n, n1)
+
+    return texts.mapInArrow(run, "feature long, n1 long, n long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n"))
+
+
+def _bags(texts: DataFrame, values: np.ndarray) -> DataFrame:
+    """(label, bag, n) of texts (label, text): a bag says how many sentences have which of the features, by their numbers; n
+    texts have that bag. Texts without a word have none.
+
+    A bag is 32-bit numbers: the number of kinds of sentences, how many sentences each kind has, how many features, and which.
     """
-    own = labels.select(F.col(id_col).alias("labelled"), F.col(label_col).cast("double").alias("label")).where("labelled is not null and label is not null")
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"), F.octet_length(text_col).alias("size")).where(F.col("size") <= SAMPLE_TEXT_BYTES)
-    # sizes are taken before the join, so that the texts themselves aren't shuffled; the sample is taken before it too
-    n, size = rows.select("id", "size").join(own, F.col("id") == F.col("labelled")).agg(F.count(F.lit(1)), F.sum("size")).first()
-    share = min(1.0, SAMPLE_DOCS / max(n, 1), SAMPLE_BYTES / max(size or 0, 1))
-    sample = rows.where(F.pmod("h", F.lit(1_000_003)) < int(share * 1_000_003) + 1).join(own, F.col("id") == F.col("labelled")).select("h", "text", "label")
+    shared = texts.sparkSession.sparkContext.broadcast(values)
+
+    def table(found: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([label for label, _ in found], pa.bool_()), pa.array([bag for _, bag in found], pa.binary()), pa.array(list(found.values()), pa.int64())], names=["label", "bag", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = shared.value
+
+        def numbers(word: str) -> tuple[int, ...]:
+            own = np.array(list(_features(word)), np.int64)
+            at = np.searchsorted(values, own)
+            return tuple(at[(at < len(values)) & (values[at.clip(max=max(len(values) - 1, 0))] == own)].tolist()) if len(values) else ()
+
+        known = _Known(numbers)
+        found, size = Counter(), 0
+        for label, text in _rows(batches):
+            kinds = Counter(tuple(sorted(set().union(*map(known.__getitem__, words)))) for words in _words(text))
+            if kinds:
+                every = sorted(kinds)
+                bag = np.array([len(every), *(kinds[k] for k in every), *map(len, every), *(i for k in every for i in k)], np.int32).tobytes()
+                found[label, bag] += 1
+                size += len(bag) if found[label, bag] == 1 else 0
+            if size > 4 << 20 or len(found) > HELD:
+                yield table(found)
+                found, size = Counter(), 0
+        yield table(found)
+
+    return texts.mapInArrow(run, "label boolean, bag binary, n long").groupBy("label", "bag").agg(F.sum("n").alias("n"))
+
+
+def _blocks(bags: DataFrame) -> DataFrame:
+    """Rows of many bags each, their numbers one after the other as bytes: labels, texts and kinds of the bags, sentences and
+    features of the kinds, and the features."""
+    names, types = ["y", "n", "kinds", "times", "lengths", "ids"], [np.bool_, np.int64, np.int32, np.int32, np.int32, np.int32]
+
+    def table(held: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([np.concatenate(x).astype(t).tobytes()], pa.binary()) for x, t in zip(zip(*held, strict=True), types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, set[int]] = {}
+        held, size = [], 0
         for batch in batches:
-            found, ends = [], []
-            for text in batch.column(1).to_pylist():
-                ids: list[int] = []
-                stops: list[int] = []
-                for s in _SENTENCE.findall(text):
-                    own: set[int] = set()
-                    for w in _WORD.findall(s.lower()):
-                        if w not in known:
-                            known[w] = _features(w)
-                        own |= known[w]
-                    if own:
-                        ids += sorted(own)
-                        stops.append(len(ids))
-                if len(known) > 300_000:
-                    known.clear()
-                found.append(np.array(ids, np.uint32).tobytes())
-                ends.append(np.array(stops, np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary()), pa.array(ends, pa.binary())], names=["h", "label", "ids", "ends"])
-
-    got = sample.mapInArrow(run, "h long, label double, ids binary, ends binary").toArrow().to_pylist()
-    return learn(sorted(got, key=lambda r: (r["h"], r["label"], r["ids"])))
+            for label, bag, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a = np.frombuffer(bag, np.int32)
+                k = a[0]
+                held.append(([label], [n], [k], a[1 : k + 1], a[k + 1 : 2 * k + 1], a[2 * k + 1 :]))
+                size += len(a) + 4
+                if size > BLOCK:
+                    yield table(held)
+                    held, size = [], 0
+        if held:
+            yield table(held)
+
+    return bags.select("label", "bag", "n").mapInArrow(run, ", ".join(f"{x} binary" for x in names))
+
+
+def _slopes(blocks: Iterable[pa.RecordBatch | pa.Table], w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+    """The slopes of the negative log likelihood by weights and bias, summed over the documents of blocks."""
+    grad, grad_b = np.zeros(len(w)), 0.0
+    for batch in blocks:
+        for row in zip(*batch.columns, strict=True):
+            y, n, kinds, times, lengths, ids = (np.frombuffer(x.as_py(), t) for x, t in zip(row, [np.bool_, np.int64, np.int32, np.int32, np.int32, np.int32], strict=True))
+            first = np.concatenate([[0], np.cumsum(kinds, dtype=np.int64)])
+            _, by_w, by_b = _sums(w, bias, ids, np.repeat(np.arange(len(times)), lengths), first, y, times, n)
+            grad += by_w
+            grad_b += by_b
+    return grad, grad_b
+
+
+@tidy
+def fit(docs: DataFrame, labels: DataFrame, text_col: str, label_col: str, id_col: str) -> Model:
+    """Train on all labelled rows, each with its whole text.
+
+    ``labels`` has one row an id. Executors count features and turn texts into bags, of which equal ones are one with a weight.
+    The likelihood is maximised by Adam: its slopes are summed by executors, or by the driver if the bags are counted to be
+    small; the driver holds the weights. Rows without a label or a text are left out. Without rows of both labels the model
+    gives every sentence a probability near 0.
+    """
+    spark = docs.sparkSession
+    own = labels.select(F.col(id_col).alias("labelled"), (F.nanvl(F.col(label_col).cast("double"), F.lit(0.0)) > 0).alias("label")).where("labelled is not null and label is not null")
+    own = broadcast_if_small(stored(own, "labels"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    texts = stored(rows.join(own, F.col("id") == F.col("labelled")).select("label", "text"), "labelled", "zstd")
+    counts = stored(_counted(texts).where((F.col("feature") == -1) | (F.col("n1") >= LEAST_DOCS)), "features")
+    total = counts.where("feature = -1").first()
+    if total is None or total.n1 in (0, total.n):
+        return Model(-6.0, {})
+    # the features that speak for label 1, numbered
+    chance = (F.col("n") - F.col("n1")) * F.lit(total.n1 / (total.n - total.n1))  # the documents of label 1 to expect if the feature said nothing
+    speak = (F.col("n1") >= LEAST_LIFT * chance) & (F.col("n1") - chance >= LEAST_SIGMA * F.sqrt(chance + 1))
+    values = np.sort(counts.where("feature >= 0").where(speak).select("feature").toArrow().column(0).to_numpy())
+    blocks = stored(_blocks(_bags(texts, values).sortWithinPartitions("label", "bag")), "bags")
+    size = blocks.agg(F.sum(sum(F.octet_length(c) for c in blocks.columns))).first()[0]
+    if size <= DRIVER_BYTES:
+        here = blocks.toArrow()
+        return learn(lambda w, bias: _slopes([here], w, bias), values, total.n)
+
+    def there(w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            grad, grad_b = _slopes(batches, w, bias)
+            yield pa.RecordBatch.from_arrays([pa.array([grad.tobytes()], pa.binary()), pa.array([grad_b])], names=["w", "b"])
+
+        got = blocks.mapInArrow(run, "w binary, b double").toArrow()
+        return sum(np.frombuffer(x.as_py()) for x in got.column(0)), sum(got.column(1).to_pylist())
+
+    with settings(spark, {**WRITING, "spark.sql.parquet.columnarReaderBatchSize": "16"}):  # few blocks at a time
+        return learn(there, values, total.n)
+
+
+def _sums(w: np.ndarray, bias: float, ids: np.ndarray, sentence: np.ndarray, first: np.ndarray, y: np.ndarray, times: np.ndarray | int = 1, n: np.ndarray | int = 1) -> tuple[float, np.ndarray, float]:
+    """The negative log likelihood of documents' labels and its slopes by weights and bias, summed. Sentences count ``times``,
+    documents ``n`` times."""
+    doc_of = np.repeat(np.arange(len(y)), np.diff(first))
+    z = np.bincount(sentence, weights=w[ids], minlength=len(doc_of)) + bias
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    clear = np.exp(np.add.reduceat(times * np.log1p(-np.minimum(p, 1 - 1e-9)), first[:-1]))
+    pull = n * np.where(y, -clear / np.maximum(1 - clear, 1e-9), 1.0)  # d loss / d z is p times this
+    g = times * p * pull[doc_of]
+    loss = -np.sum(n * np.where(y, np.log(np.maximum(1 - clear, 1e-9)), np.log(np.maximum(clear, 1e-300))))
+    return float(loss), np.bincount(ids, weights=g[sentence], minlength=len(w)), float(g.sum())
 
 
 def likelihood(w: np.ndarray, bias: float, ids: np.ndarray, sentence: np.ndarray, first: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, float]:
@@ -139,50 +283,23 @@ def likelihood(w: np.ndarray, bias: float, ids: np.ndarray, sentence: np.ndarray
     ``ids`` are features and ``sentence`` the sentences that have them; ``first`` is each document's first sentence and the
     end, and no document is without one. A document is clean if all its sentences are.
     """
-    doc_of = np.repeat(np.arange(len(y)), np.diff(first))
-    z = np.bincount(sentence, weights=w[ids], minlength=len(doc_of)) + bias
-    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    clear = np.exp(np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-9)), first[:-1]))
-    pull = np.where(y, -clear / np.maximum(1 - clear, 1e-9), 1.0)  # d loss / d z is p times this
-    g = p * pull[doc_of]
-    loss = -np.mean(np.where(y, np.log(np.maximum(1 - clear, 1e-9)), np.log(np.maximum(clear, 1e-300))))
-    return float(loss), np.bincount(ids, weights=g[sentence], minlength=len(w)) / len(y), g.sum() / len(y)
-
-
-def learn(bags: list, rounds: int = 200, rate: float = 0.15, lasso: float = 0.01) -> Model:
-    """The model of bags (label, ids, ends): a document's sentences' features, as bytes of 32-bit hashes and of the ends."""
-    docs = [(np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["ends"], np.uint32), r["label"]) for r in bags if r["ends"]]
-    y = np.array([label > 0 for _, _, label in docs])
-    if not docs or y.all() or not y.any():
-        return Model(-6.0, {})
-    # the features that speak for label 1, numbered
-    in_doc = [np.unique(ids) for ids, _, _ in docs]
-    values, n1 = np.unique(np.concatenate([x for x, one in zip(in_doc, y, strict=True) if one]), return_counts=True)
-    every, n = np.unique(np.concatenate(in_doc), return_counts=True)
-    n0 = n[np.searchsorted(every, values)] - n1
-    chance = n0 * (y.sum() / (~y).sum())  # the documents of label 1 to expect if the feature said nothing
-    values = values[(n1 >= LEAST_DOCS) & (n1 >= LEAST_LIFT * chance) & (n1 - chance >= LEAST_SIGMA * np.sqrt(chance + 1))]
-    # where these are: the numbers of feature and sentence, a document at a time
-    places, sentences, before = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
-    for own, ends, _ in docs:
-        at = np.searchsorted(values, own).clip(max=max(len(values) - 1, 0))
-        kept = np.flatnonzero(values[at] == own) if len(values) else at[:0]
-        places.append(at[kept].astype(np.int32))
-        sentences.append((np.searchsorted(ends, kept, "right") + before).astype(np.int32))
-        before += len(ends)
-    ids, sentence = np.concatenate(places), np.concatenate(sentences)
-    first = np.concatenate([[0], np.cumsum([len(e) for _, e, _ in docs])])
+    loss, grad, grad_b = _sums(w, bias, ids, sentence, first, y)
+    return loss / len(y), grad / len(y), grad_b / len(y)
+
+
+def learn(slopes: Callable[[np.ndarray, float], tuple[np.ndarray, float]], values: np.ndarray, n: int) -> Model:
+    """The model of the features ``values`` that the slopes, sums over n documents at given weights and bias, lead to."""
     width = len(values)
     w, bias = np.zeros(width), -5.0
     m, v, mb, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
-    for step in range(1, rounds + 1):
-        _, grad, grad_b = likelihood(w, bias, ids, sentence, first, y)
+    for step in range(1, ROUNDS + 1):
+        grad, grad_b = (x / n for x in slopes(w, bias))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         mb, vb = 0.9 * mb + 0.1 * grad_b, 0.99 * vb + 0.01 * grad_b * grad_b
         slow, fast = 1 - 0.9**step, 1 - 0.99**step
-        w -= rate * (m / slow) / (np.sqrt(v / fast) + 1e-6)
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * lasso, 0)
-        bias -= rate * (mb / slow) / (np.sqrt(vb / fast) + 1e-6)
+        w = w - RATE * (m / slow) / (np.sqrt(v / fast) + 1e-6)
+        w = np.sign(w) * np.maximum(np.abs(w) - RATE * LASSO, 0)
+        bias -= RATE * (mb / slow) / (np.sqrt(vb / fast) + 1e-6)
     large = np.abs(w) > 1e-2
     return Model(float(bias), dict(zip(values[large].tolist(), w[large].tolist(), strict=True)))
 

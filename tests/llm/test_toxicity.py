@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from assay.llm import toxicity
 from assay.llm.toxicity import Model, _features, document_score, fit, likelihood, noisy_or, op2_toxicity, score, train
 
 ROWS = [(i, f"A plain line here. {'You awful%d thing. ' % (i % 3) if i % 4 == 0 else 'You kind thing. '}Another line follows", int(i % 4 == 0)) for i in range(200)]
@@ -31,6 +32,28 @@ def test_learns_and_locates(spark, model):
     assert [got[k].tox_score for k in (3, 4, 5)] == [0, 0, 0] and not got[2].tox_spans
 
 
+def test_every_labelled_row_is_learned_from(spark):
+    """Words of three documents each among 12,000, and one of three texts of over 2 MiB."""
+    rows = [(i, f"Bad{i // 3:03d}x here. Fine line", 1) if i < 600 else (i, "Fine words here. A line", 0) for i in range(12_000)]
+    rows += [(i, "fine line here " * 150_000 + ". Then zebra", 1) for i in range(20_000, 20_003)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = train(df.drop("toxic"), df.drop("text"))
+    for word in ["zebra", *(f"bad{k:03d}x" for k in range(200))]:
+        assert document_score(model.probabilities(word)) >= toxicity.THRESHOLD, word
+    assert document_score(model.probabilities("fine words here. a line")) < 0.05
+
+
+def test_driver_and_executors_learn_the_same(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "ROUNDS", 10)
+    monkeypatch.setattr(toxicity, "BLOCK", 64)
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    here = train(df, labels)
+    monkeypatch.setattr(toxicity, "DRIVER_BYTES", -1)
+    there = train(df, labels)
+    assert len(here.weights) > 50 and there.bias == pytest.approx(here.bias) and there.weights == pytest.approx(here.weights)
+
+
 def test_clashing_columns_and_empty_tables(spark, model):
     got = score(spark.createDataFrame([(1, "awful0", 5.0)], "doc_id long, text string, tox_score double"), model).collect()
     assert got[0].tox_score > 0.3
